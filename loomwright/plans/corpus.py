@@ -1,0 +1,14 @@
+"""Corpus-level queries: canonical rows, exact merge and splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomwright.plans.registry import load, query
+
+
+@query("flagship_role_counts")
+def flagship_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = load(spark, sf_dir, "documents")
+    return docs.groupBy("source").agg(F.count("*").alias("n"))
