@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe
+from loomwright.llm import bpe, mixing, sharding
 from loomwright.llm.exact_dedup import exact_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,20 @@ def bpe_digest(coded: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@_query("op1_mix_sources")
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.assign(docs).select(
+        "doc_id",
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("mix_size") * F.size("mix_shards")).alias("taken"),
+    )
+
+
+@_query("op7_shard_bytes")
+def op7_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
