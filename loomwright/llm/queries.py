@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, mixing, sharding
+from loomwright.llm import bpe, mixing, sharding, token_records
 from loomwright.llm.exact_dedup import exact_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_shard_bytes")
 def op7_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op8_token_records")
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    root = token_records.fresh_root(spark)
+    index = token_records.write_records(docs, root, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_records.read_records(spark, root, index)
