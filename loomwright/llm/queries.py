@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, mixing, sharding, token_records
+from loomwright.llm import bpe, jaccard_join, mixing, sharding, token_records
 from loomwright.llm.exact_dedup import exact_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = token_records.fresh_root(spark)
     index = token_records.write_records(docs, root, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_records.read_records(spark, root, index)
+
+
+@_query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
