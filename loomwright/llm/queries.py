@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, jaccard_join, mixing, sharding, token_records
+from loomwright.llm import bpe, jaccard_join, mixing, sharding, token_records, toxicity
 from loomwright.llm.exact_dedup import exact_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,10 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_jaccard_join")
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
+
+
+@_query("op3_toxicity_chain")
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.production_chain(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).drop("text")
