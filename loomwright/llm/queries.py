@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, jaccard_join, mixing, sharding, token_records, toxicity
+from loomwright.llm import bpe, html_text, jaccard_join, mixing, sharding, token_records, toxicity
 from loomwright.llm.exact_dedup import exact_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.production_chain(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain).drop("text")
+
+
+@_query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
