@@ -185,12 +185,16 @@ class SpeculativeBpe:
         return found
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        plain = [c for c in chunks if c.isalpha() or c[0] == " " and c[1:].isalpha()]
-        done = self._ids([c.encode() for c in plain])
-        cut = {c: [w.encode() for w in WORD.findall(c)] for c in chunks.difference(plain)}
-        words = list({w for ws in cut.values() for w in ws})
-        ids = dict(zip(words, self._ids(words), strict=True))
-        return dict(zip(plain, done, strict=True)) | {c: b"".join([ids[w] for w in ws]) for c, ws in cut.items()}
+        """Ids of new chunks. The words of a chunk are chunks themselves and
+        may be known already, as those before a mark of punctuation mostly are."""
+        young, old = self.young, self.old
+        cut = {c: WORD.findall(c) for c in chunks if not (c.isalpha() or c[0] == " " and c[1:].isalpha())}
+        words = (chunks.difference(cut)).union(*cut.values()) if cut else chunks
+        ids = {w: young[w] if w in young else old[w] for w in words if w in young or w in old}
+        new = list(words - ids.keys())
+        ids.update(zip(new, self._ids([w.encode() for w in new]), strict=True))
+        ids.update((c, b"".join([ids[w] for w in ws])) for c, ws in cut.items())
+        return ids
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         out = self.packed
