@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import ann, bpe, html_text, jaccard_join, mixing, sharding, token_records, toxicity
+from loomwright.llm import ann, bpe, html_text, jaccard_join, mixing, secret_scan, sharding, token_records, toxicity
 from loomwright.llm.exact_dedup import exact_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,16 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+@_query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secret_scan.scan(docs, public_tokenizers.path("word_bpe_49k.json"), path=F.col("source")).select("doc_id", "findings")
+    secrets = F.filter("findings", lambda f: f["secret"])
+    return found.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size(secrets).cast("long").alias("n_secrets"),
+        F.transform(secrets, lambda f: F.concat_ws(":", f["kind"], f["start"], f["length"])).alias("secrets"),
+    )
