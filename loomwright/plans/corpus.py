@@ -1,14 +1,445 @@
-"""Corpus-level queries: canonical rows, exact merge and splits."""
+"""Corpus queries: canonical rows, merges, leakage, splits, training population."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from loomwright.functions import text as X
+from loomwright.operators import corpus as C
+from loomwright.operators import sampling as S
+from loomwright.plans.base import CANONICAL_SQL, canonical_rows, hash_unit, hash_unit_sql, raw_rows
 from loomwright.plans.registry import load, query
 
+CASE_SPLIT = "CASE WHEN (('0x' || substr(sha256(group_id),1,4))::BIGINT % 5) = 0 THEN 'validation' ELSE 'train' END"
 
-@query("flagship_role_counts")
+
+@query(
+    "flagship_role_counts",
+    f"""WITH {CANONICAL_SQL},
+    g AS (SELECT h, count(DISTINCT routing_label) AS k, min(doc_id) AS rep FROM canon GROUP BY h),
+    kept AS (SELECT c.* FROM canon c JOIN g ON c.h = g.h AND c.doc_id = g.rep WHERE g.k = 1)
+    SELECT CASE WHEN source_role = 'uncertain' THEN 'uncertain' ELSE {CASE_SPLIT} END AS data_role, source, routing_label, count(*) AS n
+    FROM kept GROUP BY ALL""",
+)
 def flagship_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical projection, exact merge with quarantine, lineage split, counts."""
+    rows = canonical_rows(spark, sf_dir)
+    merged, _ = C.merge_exact(rows, "normalized_text_sha256", [F.col("doc_id")])
+    # a merged row keeps its representative's role
+    role = F.when(F.col("source_role") == "uncertain", "uncertain").otherwise(F.when(C.is_validation(F.col("group_id")), "validation").otherwise("train"))
+    label = F.col("routing_label")
+    return merged.groupBy(role.alias("data_role"), "source", label).agg(F.count("*").alias("n"))
+
+
+@query(
+    "canonical_projection",
+    f"""WITH {CANONICAL_SQL} SELECT id, label, routing_label, security_label, toxicity, group_id, h AS normalized_text_sha256,
+    CASE WHEN security_label = 'harmful_non_injection' THEN ['harmful_non_injection','toxic'] ELSE [security_label] END AS security_tags,
+    source_role, source_role = 'candidate' AS routing_training_eligible FROM canon""",
+)
+def canonical_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_rows(spark, sf_dir).select(
+        "id", "label", "routing_label", "security_label", "toxicity", "group_id", "normalized_text_sha256", "security_tags", "source_role", "routing_training_eligible"
+    )
+
+
+@query(
+    "canonical_violations",
+    f"""WITH {CANONICAL_SQL}, x AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 7 ELSE label END AS label, security_label,
+       CASE WHEN doc_id % 13 = 0 THEN 'email' ELSE 'direct_user' END AS input_channel FROM canon),
+    v AS (SELECT doc_id, unnest(list_filter([
+       CASE WHEN label IS NOT NULL AND label NOT IN (0,1) THEN 'label' END,
+       CASE WHEN input_channel = 'email' THEN 'input_channel' END,
+       CASE WHEN label IS NULL AND security_label <> 'uncertain' THEN 'unknown_label_needs_uncertain' END], lambda x: x IS NOT NULL)) AS rule FROM x)
+    SELECT rule, count(*) AS n FROM v GROUP BY rule""",
+)
+def canonical_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed validation of incoming rows (some spoilt on purpose), by rule."""
+    rows = raw_rows(spark, sf_dir).withColumns(
+        {
+            "label": F.when(F.col("doc_id") % 11 == 0, 7).otherwise(F.col("label")),
+            "input_channel": F.when(F.col("doc_id") % 13 == 0, "email").otherwise("direct_user"),
+            "goal_policy_status": F.lit("unknown"),
+            "attack_type": F.lit(None).cast("string"),
+        }
+    )
+    derived = C.default_security_label(F.lit(0), F.col("attack_type"), F.col("goal_policy_status"), F.col("toxicity"))
+    rows = rows.withColumn("security_label", F.coalesce("security_label", derived))
+    return rows.select(F.explode(C.violations()).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query(
+    "exact_merge_stats",
+    f"""WITH {CANONICAL_SQL}, x AS (SELECT *, CASE WHEN ('0x' || substr(sha256('flip' || doc_id),1,2))::BIGINT < 40 THEN 1 ELSE 0 END AS y FROM canon),
+    g AS (SELECT h, count(*) AS n, min(y) AS a, max(y) AS b FROM x GROUP BY h)
+    SELECT count_if(a = b) AS kept, sum(CASE WHEN a = b THEN n - 1 ELSE 0 END)::BIGINT AS duplicates, sum(CASE WHEN a <> b THEN n ELSE 0 END)::BIGINT AS conflicts FROM g""",
+)
+def exact_merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge with label conflicts (labels flipped by hash): kept, merged away, quarantined."""
+    flip = F.conv(F.substring(F.sha2(F.concat(F.lit("flip"), F.col("doc_id")), 256), 1, 2), 16, 10).cast("int") < 40
+    rows = canonical_rows(spark, sf_dir).withColumn("routing_label", flip.cast("int"))
+    merged, out = C.merge_exact(rows.drop("toxicity"), "normalized_text_sha256", [F.col("doc_id")])
+    kept = merged.agg(F.count("*").alias("kept"), F.sum(F.col("members") - 1).alias("duplicates"))
+    return kept.crossJoin(out.agg(F.count("*").alias("conflicts")))
+
+
+@query(
+    "exact_merge_origins",
+    f"""WITH {CANONICAL_SQL} SELECT h AS normalized_text_sha256, min(doc_id) AS doc_id, count(*) AS n_origins, list_sort(list_distinct(list(source))) AS sources
+    FROM canon GROUP BY h HAVING count(DISTINCT routing_label) = 1 AND count(*) > 1""",
+)
+def exact_merge_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged, _ = C.merge_exact(canonical_rows(spark, sf_dir), "normalized_text_sha256", [F.col("doc_id")])
+    sources = F.array_sort(F.array_distinct(F.transform("origins", lambda o: o["source"])))
+    return merged.where("members > 1").select("normalized_text_sha256", "doc_id", F.size("origins").cast("long").alias("n_origins"), sources.alias("sources"))
+
+
+@query(
+    "membership_counts",
+    f"""WITH {CANONICAL_SQL}, g AS (SELECT h, min(routing_label) AS routing_label FROM canon GROUP BY h HAVING min(routing_label) = max(routing_label)),
+    m AS (SELECT DISTINCT c.h, c.source, g.routing_label FROM canon c JOIN g ON c.h = g.h)
+    SELECT source, routing_label, count(*) AS n FROM m GROUP BY ALL""",
+)
+def membership_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = canonical_rows(spark, sf_dir)
+    stripped = rows.drop("toxicity", "security_label")  # labels agree, so no annotation is disputed
+    merged, _ = C.merge_exact(stripped, "normalized_text_sha256", [F.col("doc_id")])
+    return C.membership_counts(merged)
+
+
+@query(
+    "largest_group",
+    f"""WITH {CANONICAL_SQL}, g AS (SELECT group_id, count(*) AS n FROM canon GROUP BY group_id)
+    SELECT n AS rows, sha256(group_id) AS name_sha256, round(n / sum(n) OVER (), 9) AS share FROM g ORDER BY n DESC, sha256(group_id) DESC LIMIT 1""",
+)
+def largest_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.largest_group(canonical_rows(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
+@query(
+    "uncertain_anti_join",
+    f"""WITH {CANONICAL_SQL}, s AS (SELECT DISTINCT h FROM canon WHERE source_role = 'candidate')
+    SELECT c.doc_id, c.h IN (SELECT h FROM s) AS blocked FROM canon c WHERE source_role = 'uncertain'""",
+)
+def uncertain_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncertain rows that repeat a supervised text (semi join), and the rest (anti join)."""
+    rows = canonical_rows(spark, sf_dir).select("doc_id", "source_role", "normalized_text_sha256")
+    unsure = rows.where("source_role = 'uncertain'").drop("source_role")
+    known = rows.where("source_role = 'candidate'").select("normalized_text_sha256").distinct()
+    yes = unsure.join(known, "normalized_text_sha256", "left_semi").withColumn("blocked", F.lit(True))
+    no = unsure.join(known, "normalized_text_sha256", "left_anti").withColumn("blocked", F.lit(False))
+    return yes.unionByName(no).select("doc_id", "blocked")
+
+
+@query(
+    "blocked_reference_labels",
+    f"""WITH {CANONICAL_SQL}, r AS (SELECT h, list_sort(list_distinct(list(routing_label))) AS labels FROM canon WHERE doc_id % 3 = 0 GROUP BY h)
+    SELECT c.doc_id, r.labels AS reference_labels, NOT list_contains(r.labels, c.routing_label) AS conflict FROM canon c JOIN r ON c.h = r.h WHERE c.doc_id % 3 <> 0""",
+)
+def blocked_reference_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = canonical_rows(spark, sf_dir).select("doc_id", "routing_label", F.col("normalized_text_sha256").alias("h"))
+    ref = rows.where("doc_id % 3 = 0").groupBy("h").agg(F.array_sort(F.collect_set("routing_label")).alias("reference_labels"))
+    hit = rows.where("doc_id % 3 <> 0").join(ref, "h")
+    return hit.select("doc_id", "reference_labels", (~F.array_contains("reference_labels", F.col("routing_label"))).alias("conflict"))
+
+
+SPLIT3 = "CASE ('0x' || substr(sha256(group_id),1,4))::BIGINT % 5 WHEN 0 THEN 'validation' WHEN 1 THEN 'dev_test' ELSE 'train' END"
+
+
+def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = C.unit_interval_bytes(F.col("group_id"), 4) % 5
+    split = F.when(part == 0, "validation").when(part == 1, "dev_test").otherwise("train")
+    rows = canonical_rows(spark, sf_dir)
+    return rows.select("id", "text", "group_id", split.alias("split"), F.col("normalized_text_sha256").alias("strict_hash"))
+
+
+@query(
+    "leakage_strict_views",
+    f"""WITH {CANONICAL_SQL}, s AS (SELECT id, h, {SPLIT3} AS split FROM canon),
+    t AS (SELECT *, CASE WHEN split <> 'dev_test' AND h IN (SELECT h FROM s WHERE split = 'dev_test') THEN 'strict_dev_test_overlap' END AS r1 FROM s)
+    SELECT id, split, coalesce(r1, CASE WHEN split = 'validation' AND h IN (SELECT h FROM t WHERE split = 'train' AND r1 IS NULL) THEN 'strict_train_overlap' END) AS reason FROM t""",
+)
+def leakage_strict_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.leakage_views(_split_rows(spark, sf_dir).select("id", "split", "strict_hash")).select("id", "split", "reason")
+
+
+def _prints(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.col("strict_hash").alias("hash"), X.fingerprint(F.col("text")).alias("fp"))
+
+
+@query("near_duplicate_pairs")
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Banded SimHash self-join within six bits."""
+    p = _prints(_split_rows(spark, sf_dir))
+    return C.banded_pairs(p, p).where("left_id < right_id")
+
+
+@query("near_match_audit")
+def near_match_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates against the dev set: match counts and the nearest twenty."""
+    rows = _split_rows(spark, sf_dir)
+    pairs = C.banded_pairs(_prints(rows.where("split <> 'dev_test'")), _prints(rows.where("split = 'dev_test'")))
+    return C.near_matches(pairs)
+
+
+@query("leakage_full_views")
+def leakage_full_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All views with strict and near leakage reasons."""
+    rows = _split_rows(spark, sf_dir)
+    p = _prints(rows)
+    return C.leakage_views(rows.select("id", "split", "strict_hash"), C.banded_pairs(p, p)).groupBy("split", "reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "hash_split",
+    f"WITH {CANONICAL_SQL} SELECT group_id, ('0x' || substr(sha256(group_id),1,4))::BIGINT % 5 = 0 AS is_validation, count(*) AS n FROM canon GROUP BY ALL",
+)
+def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_rows(spark, sf_dir).groupBy("group_id", C.is_validation(F.col("group_id")).alias("is_validation")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "repository_split",
+    """WITH x AS (SELECT o_orderkey, 'repo' || (o_custkey % 97) AS repo FROM orders),
+    d AS (SELECT repo, ('0x' || substr(sha256('pairs:' || repo),1,2))::BIGINT % 10 AS d FROM x)
+    SELECT repo, CASE WHEN d < 8 THEN 'train' WHEN d = 8 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM d GROUP BY ALL""",
+)
+def repository_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (orders,) = load(spark, sf_dir, "orders")
+    repo = F.concat(F.lit("repo"), F.col("o_custkey") % 97)
+    return orders.select(repo.alias("repo")).groupBy("repo", C.repository_split(F.col("repo"), "pairs").alias("split")).agg(F.count("*").alias("n"))
+
+
+@query("stratified_lineage_split")
+def stratified_lineage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted targets and greedy placement of whole lineages; rows by split and stratum."""
+    rows = canonical_rows(spark, sf_dir).where("source_role = 'candidate'")
+    placed = C.stratified_split(rows, fixed=F.col("doc_id") % 97 == 0)
+    return rows.join(placed, "split_group_id").groupBy("split", "routing_label").agg(F.count("*").alias("n"), F.count_distinct("split_group_id").alias("groups"))
+
+
+@query(
+    "stratum_vectors",
+    f"WITH {CANONICAL_SQL} SELECT group_id, source, routing_label, count(*) AS n FROM canon WHERE source_role = 'candidate' GROUP BY ALL",
+)
+def stratum_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = canonical_rows(spark, sf_dir).where("source_role = 'candidate'")
+    return rows.groupBy("group_id", "source", "routing_label").agg(F.count("*").alias("n"))
+
+
+@query(
+    "owner_election",
+    f"""WITH {CANONICAL_SQL}, x AS (SELECT id, doc_id, h, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS y FROM canon),
+    r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS p, first_value(y) OVER (PARTITION BY h ORDER BY doc_id) AS f FROM x),
+    g AS (SELECT h, count(*) AS n, min(CASE WHEN y <> f THEN p END) AS p, min_by(id, p) AS first_id FROM r GROUP BY h)
+    SELECT h AS strict_hash, CASE WHEN p IS NULL THEN first_id END AS owner_id, CASE WHEN p IS NULL THEN n - 1 ELSE p - 2 END AS strict_duplicate,
+           CASE WHEN p IS NULL THEN 0 ELSE n - p + 2 END AS strict_label_conflict FROM g""",
+)
+def owner_election(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = canonical_rows(spark, sf_dir).select("id", "doc_id", F.col("normalized_text_sha256").alias("strict_hash"), (F.col("doc_id") % 3 == 0).cast("int").alias("y"))
+    return C.elect_owners(rows, "strict_hash", "y", ["doc_id"])
+
+
+@query(
+    "balanced_weights",
+    """WITH x AS (SELECT d.doc_id, l.toxic AS label, d.source, d.source || '-' || (d.doc_id % 5) AS group_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+    g AS (SELECT label, source, group_id, count(*) AS rows FROM x GROUP BY ALL),
+    s AS (SELECT label, source, count(*) AS groups FROM g GROUP BY ALL), n AS (SELECT label, count(*) AS sources FROM s GROUP BY ALL)
+    SELECT x.doc_id, round((SELECT count(*) FROM x) / ((SELECT count(*) FROM n) * n.sources * s.groups * g.rows), 9) AS weight
+    FROM x JOIN g ON x.label = g.label AND x.group_id = g.group_id JOIN s ON x.label = s.label AND x.source = s.source JOIN n ON x.label = n.label""",
+)
+def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents", "labels")
+    rows = docs.join(labels, "doc_id").select("doc_id", F.col("toxic").alias("label"), "source", F.concat_ws("-", "source", F.col("doc_id") % 5).alias("group_id"))
+    return C.balanced_weights(rows).select("doc_id", F.round("weight", 9).alias("weight"))
+
+
+@query(
+    "overlap_guard",
+    f"""WITH {CANONICAL_SQL}, b AS (SELECT sha256(trim(regexp_replace(replace(lower(text),'ß','ss'),'[ \\n]+',' ','g'))) AS h FROM benchmark UNION SELECT h FROM canon WHERE doc_id % 10 = 0)
+    SELECT doc_id, CASE WHEN h IN (SELECT h FROM b) THEN 'normalized_exact' END AS reason FROM canon WHERE doc_id % 10 <> 0""",
+)
+def overlap_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that repeat a held-out text, by normalised hash."""
+    (bench,) = load(spark, sf_dir, "benchmark")
+    rows = canonical_rows(spark, sf_dir).select("doc_id", F.col("normalized_text_sha256").alias("h"))
+    held = bench.select(X.text_hash(F.col("text")).alias("h")).union(rows.where("doc_id % 10 = 0").select("h")).distinct().withColumn("hit", F.lit(True))
+    out = rows.where("doc_id % 10 <> 0").join(held, "h", "left")
+    return out.select("doc_id", F.when(F.col("hit"), "normalized_exact").alias("reason"))
+
+
+@query(
+    "reverse_guard",
+    f"""WITH {CANONICAL_SQL}, x AS (SELECT doc_id, h, doc_id % 4 AS ds FROM canon),
+    r AS (SELECT h, ds, min(doc_id) AS seq FROM x GROUP BY ALL)
+    SELECT x.doc_id, min(r.seq) AS first_reference FROM x JOIN r ON x.h = r.h AND x.ds <> r.ds GROUP BY x.doc_id""",
+)
+def reverse_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of other datasets block a candidate; the first in order is named."""
+    rows = canonical_rows(spark, sf_dir).select("doc_id", F.col("normalized_text_sha256").alias("h"), (F.col("doc_id") % 4).alias("ds"))
+    refs = rows.groupBy("h", F.col("ds").alias("rds")).agg(F.min("doc_id").alias("seq"))
+    return rows.join(refs, "h").where("ds <> rds").groupBy("doc_id").agg(F.min("seq").alias("first_reference"))
+
+
+@query(
+    "components_by_lineage",
+    f"""WITH RECURSIVE {CANONICAL_SQL}, n AS (SELECT doc_id, h, group_id AS g FROM canon),
+    e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM n a JOIN n b ON a.h = b.h UNION SELECT a.doc_id, b.doc_id FROM n a JOIN n b ON a.g = b.g),
+    c(x, y) AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x)
+    SELECT x AS doc_id, min(y) AS component FROM c GROUP BY x""",
+)
+def components_by_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over equal texts and shared lineages."""
+    from loomwright.operators.graph import connected_components
+
+    rows = canonical_rows(spark, sf_dir).select("doc_id", F.col("normalized_text_sha256").alias("h"), F.col("group_id").alias("g"))
+    star = lambda k: rows.join(rows.groupBy(k).agg(F.min("doc_id").alias("b")), k).select(F.col("doc_id").alias("a"), "b")
+    found = connected_components(star("h").union(star("g")))
+    return rows.select("doc_id").join(found, rows.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+
+@query(
+    "split_disjointness",
+    f"""WITH {CANONICAL_SQL}, s AS (SELECT *, {SPLIT3} AS split FROM canon)
+    SELECT 'group' AS key, count(*) AS shared FROM (SELECT group_id FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)
+    UNION ALL SELECT 'hash', count(*) FROM (SELECT h FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)""",
+)
+def split_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that more than one split holds (none may stay after the leakage pass)."""
+    s = _split_rows(spark, sf_dir)
+    long = s.select("split", F.explode(F.array(F.struct(F.lit("group").alias("key"), F.col("group_id").alias("v")), F.struct(F.lit("hash").alias("key"), F.col("strict_hash").alias("v")))).alias("k"))
+    g = long.select("split", "k.key", "k.v").groupBy("key", "v").agg((F.min("split") != F.max("split")).alias("shared"))
+    return g.groupBy("key").agg(F.count_if("shared").alias("shared"))
+
+
+@query(
+    "capped_per_stratum",
+    f"""WITH {CANONICAL_SQL}, r AS (SELECT doc_id, source, routing_label, row_number() OVER (PARTITION BY source, routing_label ORDER BY h, doc_id) AS k FROM canon)
+    SELECT doc_id, source, routing_label FROM r WHERE k <= 10""",
+)
+def capped_per_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = canonical_rows(spark, sf_dir)
+    return S.top_per_stratum(rows, ["source", "routing_label"], [F.col("normalized_text_sha256"), F.col("doc_id")], 10).select("doc_id", "source", "routing_label")
+
+
+@query(
+    "hash_ranked_sample",
+    "SELECT doc_id FROM documents ORDER BY sha256('seed-7' || chr(1) || doc_id), doc_id LIMIT 64",
+)
+def hash_ranked_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = load(spark, sf_dir, "documents")
+    return S.hash_sample(docs, "doc_id", "seed-7", 64).select("doc_id")
+
+
+@query(
+    "quota_sample",
+    """WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT *, 200.0 * n / sum(n) OVER () AS q FROM c),
+    f AS (SELECT *, floor(q) AS b, row_number() OVER (ORDER BY q - floor(q) DESC, lang) AS k FROM t),
+    a AS (SELECT lang, (b + CASE WHEN k <= 200 - sum(b) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM f),
+    r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('panel' || chr(1) || doc_id), doc_id) AS k FROM documents)
+    SELECT r.doc_id, r.lang FROM r JOIN a ON r.lang = a.lang WHERE r.k <= a.quota""",
+)
+def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest-remainder quotas per language, hash-ranked within each."""
+    (docs,) = load(spark, sf_dir, "documents")
+    return S.quota_sample(docs, ["lang"], "doc_id", "panel", 200).select("doc_id", "lang")
+
+
+@query(
+    "lineage_representatives",
+    f"""WITH {CANONICAL_SQL}, r AS (SELECT doc_id, group_id, source_role, row_number() OVER (PARTITION BY group_id, source_role ORDER BY h, doc_id) AS k FROM canon)
+    SELECT doc_id, group_id, source_role FROM r WHERE k = 1""",
+)
+def lineage_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = canonical_rows(spark, sf_dir)
+    return S.top_per_stratum(rows, ["group_id", "source_role"], [F.col("normalized_text_sha256"), F.col("doc_id")], 1).select("doc_id", "group_id", "source_role")
+
+
+@query(
+    "weak_and_eligible_rows",
+    f"""WITH {CANONICAL_SQL} SELECT source, count_if(label_basis = 'unverified') AS unverified,
+    count_if(source_role = 'candidate' AND label_basis <> 'unverified') AS eligible FROM canon GROUP BY source""",
+)
+def weak_and_eligible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows all of whose origins are weak, and rows a model may train on."""
+    weak = F.forall("origins", lambda o: o["label_basis"].contains("weak") | o["label_basis"].contains("unverified"))
+    rows = canonical_rows(spark, sf_dir)
+    return rows.groupBy("source").agg(F.count_if(weak).alias("unverified"), F.count_if(F.col("routing_training_eligible") & ~weak).alias("eligible"))
+
+
+@query(
+    "shuffle_and_batches",
+    """WITH o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY sha256('shuffle' || chr(1) || doc_id), doc_id) - 1 AS place FROM documents)
+    SELECT place // 256 AS batch, count(*) AS n, sum(n_chars)::BIGINT AS chars, min(place) AS first_place FROM o GROUP BY 1""",
+)
+def shuffle_and_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded order, then batches by count."""
     (docs,) = load(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(F.count("*").alias("n"))
+    placed = S.seeded_order(docs.select("doc_id", "n_chars"), "doc_id", "shuffle")
+    batch = F.floor(F.col("place") / 256)
+    return placed.groupBy(batch.alias("batch")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.min("place").alias("first_place"))
+
+
+@query(
+    "negative_evidence",
+    f"""WITH {CANONICAL_SQL} SELECT source, lang, count(*) AS n, count(DISTINCT group_id) AS groups FROM canon WHERE routing_label = 0 GROUP BY ALL""",
+)
+def negative_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = canonical_rows(spark, sf_dir).where("routing_label = 0")
+    return rows.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("groups"))
+
+
+@query(
+    "corpus_summary",
+    f"""WITH {CANONICAL_SQL} SELECT source, count(*) AS rows, count(DISTINCT h) AS texts, count(DISTINCT group_id) AS groups, min(id) AS low, max(id) AS high,
+    count_if(routing_label = 1) AS positives FROM canon GROUP BY source""",
+)
+def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = canonical_rows(spark, sf_dir)
+    return rows.groupBy("source").agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("normalized_text_sha256").alias("texts"),
+        F.count_distinct("group_id").alias("groups"),
+        F.min("id").alias("low"),
+        F.max("id").alias("high"),
+        F.count_if(F.col("routing_label") == 1).alias("positives"),
+    )
+
+
+@query(
+    "panel_digest",
+    "SELECT lang, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS digest FROM documents WHERE doc_id % 5 = 0 GROUP BY lang",
+)
+def panel_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-free digest of a panel: over its sorted row digests."""
+    (docs,) = load(spark, sf_dir, "documents")
+    panel = docs.where("doc_id % 5 = 0").groupBy("lang").agg(F.array_sort(F.collect_list(F.sha2("text", 256))).alias("d"))
+    return panel.select("lang", F.sha2(F.array_join("d", ""), 256).alias("digest"))
+
+
+@query(
+    "balanced_cycle",
+    f"""WITH {CANONICAL_SQL}, r AS (SELECT doc_id, routing_label, row_number() OVER (PARTITION BY routing_label ORDER BY sha256('cycle' || chr(1) || doc_id), doc_id) AS k FROM canon)
+    SELECT doc_id, routing_label, (k - 1) // 8 AS step FROM r WHERE k <= 80""",
+)
+def balanced_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten steps of a class-balanced cycle: eight rows of each class per step."""
+    rows = canonical_rows(spark, sf_dir)
+    w = W.Window.partitionBy("routing_label").orderBy(S.rank_key("cycle", F.col("doc_id")), "doc_id")
+    ranked = rows.select("doc_id", "routing_label", F.row_number().over(w).alias("k")).where("k <= 80")
+    return ranked.select("doc_id", "routing_label", F.floor((F.col("k") - 1) / 8).alias("step"))
+
+
+@query(
+    "payload_modulo_join",
+    f"""WITH p AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark)
+    SELECT d.doc_id, p.item_id FROM documents d JOIN p ON floor({hash_unit_sql("d.doc_id")} * p.n) = p.k""",
+)
+def payload_modulo_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document draws a payload of the pool by its hash."""
+    docs, bench = load(spark, sf_dir, "documents", "benchmark")
+    pool = bench.select("item_id", (F.row_number().over(W.Window.orderBy("item_id")) - 1).alias("k"))
+    n = bench.count()
+    return docs.withColumn("k", F.floor(hash_unit(F.col("doc_id")) * n)).join(F.broadcast(pool), "k").select("doc_id", "item_id")
