@@ -30,4 +30,4 @@ def load(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables]
 
 
-from loomwright.plans import corpus, evaluation  # noqa: E402,F401
+from loomwright.plans import corpus, evaluation, serving, texts  # noqa: E402,F401
