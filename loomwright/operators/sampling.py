@@ -42,14 +42,15 @@ def quota_sample(df: DataFrame, strata: Sequence[str], key: str, namespace: str,
 
 def equal_quotas(sizes: dict[str, int], n: int) -> dict[str, int]:
     """Water filling: as even as the sizes allow, ties to the smaller name."""
-    out, left, open_ = dict.fromkeys(sizes, 0), min(n, sum(sizes.values())), sorted(sizes)
-    while left and open_:
-        share, extra = divmod(left, len(open_))
-        for i, s in enumerate(open_):
-            add = min(sizes[s] - out[s], share + (i < extra))
-            out[s] += add
-            left -= add
-        open_ = [s for s in open_ if out[s] < sizes[s]]
+    out, left = {}, min(n, sum(sizes.values()))
+    order = sorted(sizes, key=lambda s: (sizes[s], s))
+    for i, s in enumerate(order):
+        share, extra = divmod(left, len(order) - i)
+        if sizes[s] > share:  # nobody from here on is smaller than the share
+            rest = sorted(order[i:])
+            return out | {r: share + (k < extra) for k, r in enumerate(rest)}
+        out[s] = sizes[s]
+        left -= sizes[s]
     return out
 
 
