@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -39,8 +39,9 @@ from loomwright.llm.components import components
 
 #: Shingles are counted in so many buckets for the global order: a table of fixed size.
 BUCKETS = 1 << 18
-#: Longest multi-match, and how many verifications one prefix shingle costs.
-MOST_MATCHES, ROW_COST, VERIFY_COST = 8, 1.0, 0.02
+#: Longest multi-match; what a prefix shingle costs, and what each shingle of a
+#: candidate does: its sets are fetched, moved and intersected.
+MOST_MATCHES, ROW_COST, VERIFY_COST = 8, 1.0, 2.0
 #: Pivots that a class is verified against before the full join.
 PIVOTS = 2
 
@@ -143,6 +144,17 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, members array<long>")
 
 
+def _within(percent: int) -> Column:
+    """Of a shingle that two sets (n, pos, l and n1, pos1, l1) share: whether
+    their sizes allow the similarity and the shingle lies within the prefixes
+    that this pair's own overlap asks for."""
+    n, m = F.col("n"), F.col("n1")
+    need = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+    l = F.least("l", "l1")
+    sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
+    return sizes & (F.col("pos") < n - need + l) & (F.col("pos1") < m - need + l)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("members").alias("sa"))
@@ -173,42 +185,35 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     live = slim.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(live.groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     reps = classes.select("rep").distinct()
-    pre = stored(_prefixes(rows, weight, k, percent).join(reps, "rep", "left_semi").dropDuplicates(["rep"]), "jaccard-prefixes")
+    pre = stored(_prefixes(rows, weight, k, percent).join(reps, "rep", "left_semi"), "jaccard-prefixes")
     posts = pre.select("rep", "n", "l", F.posexplode("tokens").alias("pos", "token"))
     rank = F.shiftleft(F.col("pos").cast("long"), 40) + F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))
-    tops = posts.groupBy("token").agg(F.count("*").alias("df"), F.min_by("rep", rank).alias("pivot")).where("df > 1")
-    shared = stored(posts.join(tops.select("token", "pivot"), "token"), "jaccard-shared")
-    votes = shared.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("v"), F.min("l").alias("l")).where("v >= l")
+    lead = [F.min_by(c, rank).alias(f"{c}1") for c in ("rep", "n", "l", "pos")]
+    tops = posts.groupBy("token").agg(F.count("*").alias("df"), *lead).where("df > 1").drop("df")
+    shared = stored(posts.join(tops, "token"), "jaccard-shared")
+    votes = shared.where(F.col("rep") != F.col("rep1")).where(_within(percent)).groupBy("rep", F.col("rep1").alias("pivot"))
+    votes = votes.agg(F.count("*").alias("v"), F.min(F.least("l", "l1")).alias("l")).where("v >= l")
     best = F.row_number().over(W.Window.partitionBy("rep").orderBy(F.desc("v"), "pivot"))
     stars = stored(
         votes.withColumn("k", best).where(F.col("k") <= PIVOTS).select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "jaccard-stars"
     )
     seen = stars.select("a").union(stars.select("b")).distinct()
-    fetch = lambda ids: _sets(rows.join(ids.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi"), k).dropDuplicates(["rep"])
+    fetch = lambda ids: _sets(rows.join(ids.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi"), k)
     sets = stored(fetch(seen), "jaccard-sets")
     links = stored(_verified(stars, sets, percent), "jaccard-links")
     first = components(links)
     # Pairs across the components found so far.
-    home = shared.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    home = shared.select("token", "rep", "n", "l", "pos").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left")
     home = home.select("token", "rep", "n", "l", "pos", F.coalesce("component", "rep").alias("c"))
     mixed = home.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     home = stored(home.join(mixed, "token", "left_semi"), "jaccard-home")
     sizes = home.groupBy("token", "c").agg(F.count("*").alias("m"))
     main = sizes.groupBy("token").agg(F.max_by("c", "m").alias("main"))
     few = home.join(main, "token").where("c <> main").select(*(F.col(x).alias(f"{x}1") for x in home.columns), "main")
-    T = F.ceil((F.col("n") + F.col("n1")) * percent / (100 + percent) - 1e-9)
-    l = F.least("l", "l1")
-    near = (
-        (F.col("token") == F.col("token1"))
-        & (F.col("c") != F.col("c1"))
-        & ((F.col("c") == F.col("main")) | (F.col("rep") > F.col("rep1")))
-        & (100 * F.col("n") >= percent * F.col("n1"))
-        & (100 * F.col("n1") >= percent * F.col("n"))
-        & (F.col("pos") < F.col("n") - T + l)
-        & (F.col("pos1") < F.col("n1") - T + l)
-    )
+    once = (F.col("c") == F.col("main")) | (F.col("rep") > F.col("rep1"))
+    near = (F.col("token") == F.col("token1")) & (F.col("c") != F.col("c1")) & once & _within(percent)
     hits = few.join(home, near).groupBy(F.least("rep", "rep1").alias("a"), F.greatest("rep", "rep1").alias("b"))
-    pairs = stored(hits.agg(F.count("*").alias("v"), F.min(l).alias("l")).where("v >= l").select("a", "b"), "jaccard-pairs")
+    pairs = stored(hits.agg(F.count("*").alias("v"), F.min(F.least("l", "l1")).alias("l")).where("v >= l").select("a", "b"), "jaccard-pairs")
     pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = pairs.select("a").union(pairs.select("b")).distinct()
     late = fetch(more.join(seen, "a", "left_anti"))
