@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import small_batches
 
 #: Labelled rows to fit on, with and without the last category.
-TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
-FEATURES, LEAST_ROWS, FOLDS, ROUNDS, RIDGE = 3000, 6, 3, 120, 2e-3
+TOXIC_ROWS, CLEAN_ROWS = 1500, 4500
+FEATURES, LEAST_ROWS, FOLDS, ROUNDS, RIDGE = 2000, 5, 3, 120, 2e-3
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 300_000
@@ -104,7 +104,7 @@ def select(rows: Sequence[Sequence[str]], y: np.ndarray) -> tuple[dict[str, int]
         for w in row:
             if w not in memo:
                 memo[w] = np.array([ids.setdefault(f, len(ids)) for f in forms(w)], np.int64)
-    counts = [np.zeros((2, len(ids))) for _ in range(y.shape[1])]
+    counts = [np.zeros((2, len(ids)), np.float32) for _ in range(y.shape[1])]
     for row, labels in zip(rows, y, strict=True):
         if len(row):
             have = np.unique(np.concatenate([memo[w] for w in row]))
@@ -177,6 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "id")
     got = rows.withColumn("words", distinct_words("text")).drop("text").toPandas()
     got = got.sort_values("id", kind="stable").drop_duplicates("id").reset_index(drop=True)
+    seen: dict[str, str] = {}  # one object per word, not per occurrence
+    got["words"] = [[seen.setdefault(w, w) for w in row] for row in got["words"]]
     return fit_chain(got["words"].tolist(), got[list(categories)], [shares[n] or 0.0 for n in categories])
 
 
