@@ -37,8 +37,10 @@ from pyspark.sql import window as W
 from loomwright.llm.common import small_batches, stored
 from loomwright.llm.components import components
 
-#: Shingles are counted in so many buckets for the global order: a table of fixed size.
-BUCKETS = 1 << 18
+#: Shingles are counted in so many buckets of so many tables for the global order,
+#: a sketch of fixed size; the least of a shingle's counts orders it, so that a rare
+#: one seldom passes for frequent.
+BUCKETS, TABLES = 1 << 18, 2
 #: Longest multi-match; what a prefix shingle costs, and what each shingle of a
 #: candidate does: its sets are fetched, moved and intersected.
 MOST_MATCHES, ROW_COST, VERIFY_COST = 8, 1.0, 2.0
@@ -66,6 +68,11 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(acc)
 
 
+def cells(s: np.ndarray) -> np.ndarray:
+    """The cells of shingles in the sketch, a row per table."""
+    return np.stack([((s >> np.uint64(20 * t)) & np.uint64(BUCKETS - 1)).astype(np.int64) + t * BUCKETS for t in range(TABLES)])
+
+
 def needed(n: int, percent: int) -> int:
     """The overlap that a set of n shingles has with any set similar enough."""
     return (percent * n + 99) // 100
@@ -74,7 +81,7 @@ def needed(n: int, percent: int) -> int:
 def prefix(s: np.ndarray, weight: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     """The multi-match number and the prefix, rarest shingles first."""
     n = len(s)
-    counts = weight[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    counts = weight[cells(s)].min(axis=0)
     least = n - needed(n, percent) + 1
     most = min(MOST_MATCHES, needed(n, percent))
     if least + most - 1 < n // 2:  # only the first few are needed in order
@@ -100,15 +107,13 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     """Per document its size and signature, and per partition the bucket counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(TABLES * BUCKETS, np.int64)
         names, kinds = ["doc_id", "n", "sig", "bucket", "hits"], [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text, k)
-                counts += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                np.add.at(counts, cells(s).ravel(), 1)
                 rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), None, None))
             yield _columns(rows, kinds, names)
         at = np.nonzero(counts)[0]
@@ -146,13 +151,16 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 def _within(percent: int) -> Column:
     """Of a shingle that two sets (n, pos, l and n1, pos1, l1) share: whether
-    their sizes allow the similarity and the shingle lies within the prefixes
-    that this pair's own overlap asks for."""
+    their sizes allow the similarity, the shingle lies within the prefixes that
+    this pair's own overlap asks for, and what can be common before and behind
+    it is enough for that overlap."""
     n, m = F.col("n"), F.col("n1")
     need = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
     l = F.least("l", "l1")
     sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
-    return sizes & (F.col("pos") < n - need + l) & (F.col("pos1") < m - need + l)
+    p, q = F.col("pos"), F.col("pos1")
+    enough = F.least(p, q) + F.least(n - p, m - q) >= need
+    return sizes & (p < n - need + l) & (q < m - need + l) & enough
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,11 +185,12 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     profile = stored(_profile(rows, k), "jaccard-profile")
     slim = profile.where("bucket IS NULL").select("doc_id", "n", "sig")
-    # The order's table is BUCKETS rows at most, whatever the corpus holds.
-    weight = np.zeros(BUCKETS, np.float64)
+    # The sketch has TABLES * BUCKETS cells, whatever the corpus holds.
+    weight = np.zeros(TABLES * BUCKETS, np.float64)
     for r in profile.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits")).toLocalIterator():
         weight[r.bucket] = r.hits
-    weight = np.maximum(weight - np.median(weight), 0) / 1.0 + 1.0 / BUCKETS
+    base = np.median(weight.reshape(TABLES, -1), axis=1).repeat(BUCKETS)
+    weight = np.maximum(weight - base, 0) + 1.0 / BUCKETS
     live = slim.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(live.groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     reps = classes.select("rep").distinct()
