@@ -30,14 +30,25 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder, read it back."""
+def stored(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder, read it
+    back. The path goes to ``scratch``, for :func:`discard`."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables that nothing depends on any more."""
+    for path in scratch:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    scratch.clear()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and by bytes, for plans made from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from loomwright.llm.common import small_batches, stored
+from loomwright.llm.common import discard, small_batches, stored
 from loomwright.llm.components import components
 
 #: Shingles are counted in so many buckets of so many tables for the global order,
@@ -182,8 +182,9 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     are ignored. A null id stands for itself alone (component null)."""
     spark = docs.sparkSession
     small_batches(spark)
+    scratch: list[str] = []
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    profile = stored(_profile(rows, k), "jaccard-profile")
+    profile = stored(_profile(rows, k), "jaccard-profile", scratch)
     slim = profile.where("bucket IS NULL").select("doc_id", "n", "sig")
     # The sketch has TABLES * BUCKETS cells, whatever the corpus holds.
     weight = np.zeros(TABLES * BUCKETS, np.float64)
@@ -192,48 +193,51 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     base = np.median(weight.reshape(TABLES, -1), axis=1).repeat(BUCKETS)
     weight = np.maximum(weight - base, 0) + 1.0 / BUCKETS
     live = slim.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(live.groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    classes = stored(live.groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "jaccard-classes", scratch)
     reps = classes.select("rep").distinct()
-    pre = stored(_prefixes(rows, weight, k, percent).join(reps, "rep", "left_semi"), "jaccard-prefixes")
+    pre = stored(_prefixes(rows, weight, k, percent).join(reps, "rep", "left_semi"), "jaccard-prefixes", scratch)
     posts = pre.select("rep", "n", "l", F.posexplode("tokens").alias("pos", "token"))
     rank = F.shiftleft(F.col("pos").cast("long"), 40) + F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))
     lead = [F.min_by(c, rank).alias(f"{c}1") for c in ("rep", "n", "l", "pos")]
     tops = posts.groupBy("token").agg(F.count("*").alias("df"), *lead).where("df > 1").drop("df")
-    shared = stored(posts.join(tops, "token"), "jaccard-shared")
+    shared = stored(posts.join(tops, "token"), "jaccard-shared", scratch)
     votes = shared.where(F.col("rep") != F.col("rep1")).where(_within(percent)).groupBy("rep", F.col("rep1").alias("pivot"))
     votes = votes.agg(F.count("*").alias("v"), F.min(F.least("l", "l1")).alias("l")).where("v >= l")
     best = F.row_number().over(W.Window.partitionBy("rep").orderBy(F.desc("v"), "pivot"))
     stars = stored(
-        votes.withColumn("k", best).where(F.col("k") <= PIVOTS).select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "jaccard-stars"
+        votes.withColumn("k", best).where(F.col("k") <= PIVOTS).select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "jaccard-stars", scratch
     )
     seen = stars.select("a").union(stars.select("b")).distinct()
     fetch = lambda ids: _sets(rows.join(ids.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi"), k)
-    sets = stored(fetch(seen), "jaccard-sets")
-    links = stored(_verified(stars, sets, percent), "jaccard-links")
-    first = components(links)
+    sets = stored(fetch(seen), "jaccard-sets", scratch)
+    links = stored(_verified(stars, sets, percent), "jaccard-links", scratch)
+    first = components(links, scratch)
     # Pairs across the components found so far.
     home = shared.select("token", "rep", "n", "l", "pos").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left")
     home = home.select("token", "rep", "n", "l", "pos", F.coalesce("component", "rep").alias("c"))
     mixed = home.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
-    home = stored(home.join(mixed, "token", "left_semi"), "jaccard-home")
+    home = stored(home.join(mixed, "token", "left_semi"), "jaccard-home", scratch)
     sizes = home.groupBy("token", "c").agg(F.count("*").alias("m"))
     main = sizes.groupBy("token").agg(F.max_by("c", "m").alias("main"))
     few = home.join(main, "token").where("c <> main").select(*(F.col(x).alias(f"{x}1") for x in home.columns), "main")
     once = (F.col("c") == F.col("main")) | (F.col("rep") > F.col("rep1"))
     near = (F.col("token") == F.col("token1")) & (F.col("c") != F.col("c1")) & once & _within(percent)
     hits = few.join(home, near).groupBy(F.least("rep", "rep1").alias("a"), F.greatest("rep", "rep1").alias("b"))
-    pairs = stored(hits.agg(F.count("*").alias("v"), F.min(F.least("l", "l1")).alias("l")).where("v >= l").select("a", "b"), "jaccard-pairs")
+    pairs = stored(hits.agg(F.count("*").alias("v"), F.min(F.least("l", "l1")).alias("l")).where("v >= l").select("a", "b"), "jaccard-pairs", scratch)
     pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = pairs.select("a").union(pairs.select("b")).distinct()
     late = fetch(more.join(seen, "a", "left_anti"))
-    sets = sets.unionByName(stored(late, "jaccard-sets"))
+    sets = sets.unionByName(stored(late, "jaccard-sets", scratch))
     late_links = _verified(pairs, sets, percent)
-    found = components(links.unionByName(late_links))
+    found = components(links.unionByName(late_links), scratch)
     named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select(F.col("n").alias("n0"), "sig", F.coalesce("component", "rep").alias("component_id"))
     out = slim.join(named, (F.col("n") == F.col("n0")) & (slim.sig == named.sig) & (F.col("n") > 0), "left")
-    return out.select(
+    out = out.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
+    result = stored(out, "jaccard-classes-of-documents")
+    discard(spark, scratch)  # the result stands alone
+    return result
