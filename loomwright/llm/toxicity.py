@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import small_batches
 
 #: Labelled rows to fit on, with and without the last category.
-TOXIC_ROWS, CLEAN_ROWS = 1500, 4500
-FEATURES, LEAST_ROWS, FOLDS, ROUNDS, RIDGE = 2000, 5, 3, 120, 2e-3
+TOXIC_ROWS, CLEAN_ROWS = 1200, 3600
+FEATURES, LEAST_ROWS, FOLDS, ROUNDS, RIDGE = 1500, 5, 3, 120, 2e-3
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 300_000
@@ -53,19 +53,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Ridge-penalised logistic regression by accelerated gradient steps; the
     last weight is the bias. Needs no random numbers."""
     n, d = x.shape
-    x = np.hstack([x, np.ones((n, 1), np.float32)])
+    times = lambda v: x @ v[:-1] + v[-1]
+    back = lambda r: np.append(x.T @ r, r.sum()).astype(np.float32)
     v = np.ones(d + 1, np.float32)
     for _ in range(12):  # the largest eigenvalue bounds the step
-        v = x.T @ (x @ v)
+        v = back(times(v))
         top = float(np.linalg.norm(v)) or 1.0
         v /= top
-    step = 1 / (0.25 * top / n + RIDGE)
+    step = np.float32(1 / (0.25 * top / n + RIDGE))
     w = u = np.zeros(d + 1, np.float32)
     ridge = np.full(d + 1, RIDGE, np.float32)
     ridge[-1] = 0
     for k in range(ROUNDS):
-        g = x.T @ (sigmoid(x @ u) - y).astype(np.float32) / n + ridge * u
-        new = u - np.float32(step) * g
+        g = back((sigmoid(times(u)) - y).astype(np.float32)) / np.float32(n) + ridge * u
+        new = u - step * g
         u = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
@@ -144,7 +145,8 @@ def fit_chain(rows: Sequence[Sequence[str]], labels: pd.DataFrame, shares: Seque
             shift.append(float(np.log(share / (1 - share))))
             continue
         move = float(np.log(share / (1 - share)) - np.log(mine / (1 - mine)))
-        w = fit_logistic(x[known, : d + k], y[known, k])
+        part = x[:, : d + k] if len(known) == len(x) else x[known, : d + k]  # a view where no label is missing
+        w = fit_logistic(part, y[known, k])
         p = sigmoid(x[:, : d + k] @ w[:-1] + w[-1] + move)
         for fold in range(FOLDS):
             out = known[known % FOLDS == fold]
