@@ -20,6 +20,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from loomwright.llm.bpe import byte_alphabet
 from loomwright.llm.common import scratch_root, small_batches, stored
 
 FILE_BYTES = 64 << 20
 NO_ID = -(1 << 63)
-CACHE_PIECES, CACHE_CHARS = 200_000, 48
+CACHE_PIECES, CACHE_WORDS, CACHE_CHARS = 300_000, 400_000, 48
 INDEX = "file string, part int, place long, doc_id long, offset long, length long, tokens long"
-PLAIN = re.compile(r"([a-zA-Zß-öø-ÿ]+)([,.;:!?]?)\Z")
+PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([,.;:!?]?)\Z")
 SPACES = re.compile(r"[ \t-\r]+")
 
 
@@ -89,7 +91,9 @@ class PieceEncoder:
     No step of the vocabulary's normaliser or pre-tokenizer reaches across
     ASCII white space, so pieces encode alone as they do within the text. Of
     pieces that are Latin letters and at most one mark of punctuation, the
-    letters, in lower case, and the mark are looked up apart."""
+    letters, in lower case, and the mark are looked up apart; such letters are
+    one word to the pre-tokenizer, so the library's model takes them as they
+    are. Everything else goes through the whole pipeline."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's
@@ -100,34 +104,44 @@ class PieceEncoder:
         self.lib.no_padding()
         self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
+        letter = {b: c for c, b in byte_alphabet().items()}
+        self.as_bytes = {i: "".join(letter[b] for b in chr(i).encode()) for i in range(256)}
+        self.code = "H" if self.width == 2 else "I"
+        self.marks = {m: array(self.code, self.lib.encode(m, add_special_tokens=False).ids).tobytes() for m in ",.;:!?"}
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
-        cut = {p: (m[1].lower(), m[2]) if (m := PLAIN.match(p)) else (p,) for p in pieces}
-        fresh = list({w for ws in cut.values() for w in ws if w} - self.words.keys())
-        for w, e in zip(fresh, self.lib.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, self.kind).tobytes()
-        self.words[""] = b""
-        self.pieces.update((p, b"".join([self.words[w] for w in ws])) for p, ws in cut.items())
+        known, tokenize, made, odd = self.words, self.lib.model.tokenize, self.pieces, []
+        for p in pieces:
+            if not (m := PLAIN.match(p)):
+                odd.append(p)
+                continue
+            word, mark = m[1].lower(), m[2]
+            if (coded := known.get(word)) is None:
+                coded = known[word] = array(self.code, [t.id for t in tokenize(word.translate(self.as_bytes))]).tobytes()
+            made[p] = coded + self.marks[mark] if mark else coded
+        for p, e in zip(odd, self.lib.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            made[p] = array(self.code, e.ids).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
         for text in texts:
             coded = []
             for piece_list in self._lists(text or ""):
-                new = set(piece_list) - self.pieces.keys()
+                new = {p for p in set(piece_list) if p not in self.pieces}
                 if new:
                     if len(self.pieces) + len(new) > CACHE_PIECES:
                         self.pieces, new = {}, set(piece_list)
-                    if len(self.words) > CACHE_PIECES:
+                    if len(self.words) > CACHE_WORDS:
                         self.words = {}
                     self._learn(list(new))
                 coded.append(b"".join(map(self.pieces.__getitem__, piece_list)))
                 for p in new:
                     if len(p) > CACHE_CHARS:
                         del self.pieces[p]
-                        self.words.pop(p, None)
+                        if m := PLAIN.match(p):
+                            self.words.pop(m[1].lower(), None)
             out.append(np.frombuffer(b"".join(coded), self.kind))
         return out
 
@@ -136,7 +150,10 @@ class PieceEncoder:
         at = 0
         while at < len(text):
             end = m.end() if at + chars < len(text) and (m := SPACES.search(text, at + chars)) else len(text)
-            yield [p for p in SPACES.split(text[at:end]) if p]
+            part = text[at:end]
+            # str.split parts at all white space that the normaliser squeezes, and at four controls that it keeps
+            plain = not any(c in part for c in "\x1c\x1d\x1e\x1f")
+            yield part.split() if plain else [p for p in SPACES.split(part) if p]
             at = end
 
 
