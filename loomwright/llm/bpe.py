@@ -191,7 +191,7 @@ class SpeculativeBpe:
         cut = {c: WORD.findall(c) for c in chunks if not (c.isalpha() or c[0] == " " and c[1:].isalpha())}
         words = (chunks.difference(cut)).union(*cut.values()) if cut else chunks
         ids = {w: young[w] if w in young else old[w] for w in words if w in young or w in old}
-        new = list(words - ids.keys())
+        new = list(words.difference(ids))
         ids.update(zip(new, self._ids([w.encode() for w in new]), strict=True))
         ids.update((c, b"".join([ids[w] for w in ws])) for c, ws in cut.items())
         return ids
@@ -221,9 +221,9 @@ class SpeculativeBpe:
     def _round(self, parts: list[tuple[int, list[str] | int]], out: list[list[bytes]]) -> None:
         """Encode the gathered parts: look up, learn what is new in one go, join."""
         young, old = self.young, self.old
-        new = set().union(*(p for _, p in parts if not isinstance(p, int))) - young.keys()
+        new = {c for c in set().union(*(p for _, p in parts if not isinstance(p, int))) if c not in young}
         known = {c: old[c] for c in new if c in old}
-        fresh = known | self._learn(new - known.keys())
+        fresh = known | self._learn(new.difference(known))
         for k, p in parts:
             if isinstance(p, int):
                 out[k].append(np.array([p], np.int32).tobytes())
