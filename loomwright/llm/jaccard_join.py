@@ -28,8 +28,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -40,7 +42,9 @@ from loomwright.llm.components import components
 #: Shingles are counted in so many buckets of so many tables for the global order,
 #: a sketch of fixed size; the least of a shingle's counts orders it, so that a rare
 #: one seldom passes for frequent.
-BUCKETS, TABLES = 1 << 18, 2
+BUCKETS, TABLES, BLOCK = 1 << 18, 3, 4096
+#: Partial sketches are summed in so many lanes before they meet.
+LANES = 64
 #: Longest multi-match; what a prefix shingle costs, and what each shingle of a
 #: candidate does: its sets are fetched, moved and intersected.
 MOST_MATCHES, ROW_COST, VERIFY_COST = 8, 1.0, 2.0
@@ -108,19 +112,38 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(TABLES * BUCKETS, np.int64)
-        names, kinds = ["doc_id", "n", "sig", "bucket", "hits"], [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
+        names, kinds = ["doc_id", "n", "sig", "block", "lane", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text, k)
                 np.add.at(counts, cells(s).ravel(), 1)
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), None, None))
+                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), None, None, None))
             yield _columns(rows, kinds, names)
-        at = np.nonzero(counts)[0]
-        empty = pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())
-        yield pa.RecordBatch.from_arrays([*empty, pa.array(at.astype(np.int32)), pa.array(counts[at])], names)
+        lane = TaskContext.get().partitionId() % LANES
+        parts = counts.reshape(-1, BLOCK)
+        yield _columns([(None, None, None, k, lane, part.tobytes()) for k, part in enumerate(parts) if part.any()], kinds, names)
 
-    return docs.mapInArrow(run, "doc_id long, n int, sig binary, bucket int, hits long")
+    return docs.mapInArrow(run, "doc_id long, n int, sig binary, block int, lane int, counts binary")
+
+
+def _sketch(profile: DataFrame) -> np.ndarray:
+    """The summed cells. Blocks of cells are added as arrays, by lane first, so
+    a group holds few blocks however many partitions there are; what comes to
+    the driver is TABLES * BUCKETS numbers."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(BLOCK, np.int64)
+        for part in rows["counts"]:
+            total += np.frombuffer(part, np.int64)
+        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "counts": [total.tobytes()]})
+
+    kind = "block int, counts binary"
+    lanes = profile.where("block IS NOT NULL").select("block", "lane", "counts").groupBy("block", "lane").applyInPandas(add, kind)
+    out = np.zeros(TABLES * BUCKETS, np.int64).reshape(-1, BLOCK)
+    for r in lanes.groupBy("block").applyInPandas(add, kind).collect():
+        out[r.block] = np.frombuffer(bytes(r.counts), np.int64)
+    return out.ravel()
 
 
 def _prefixes(docs: DataFrame, weight: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -185,13 +208,10 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     scratch: list[str] = []
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     profile = stored(_profile(rows, k), "jaccard-profile", scratch)
-    slim = profile.where("bucket IS NULL").select("doc_id", "n", "sig")
-    # The sketch has TABLES * BUCKETS cells, whatever the corpus holds.
-    weight = np.zeros(TABLES * BUCKETS, np.float64)
-    for r in profile.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits")).toLocalIterator():
-        weight[r.bucket] = r.hits
+    slim = profile.where("block IS NULL").select("doc_id", "n", "sig")
+    weight = _sketch(profile)
     base = np.median(weight.reshape(TABLES, -1), axis=1).repeat(BUCKETS)
-    weight = np.maximum(weight - base, 0) + 1.0 / BUCKETS
+    weight = (np.maximum(weight - base, 0) + 1.0 / BUCKETS).astype(np.float32)
     live = slim.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(live.groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "jaccard-classes", scratch)
     reps = classes.select("rep").distinct()
