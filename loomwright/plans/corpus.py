@@ -262,7 +262,7 @@ def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, CASE WHEN h IN (SELECT h FROM b) THEN 'normalized_exact' END AS reason FROM canon WHERE doc_id % 10 <> 0""",
 )
 def overlap_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that repeat a held-out text, by normalised hash."""
+    """Candidates that repeat a held-out text, by normalised hash alone, as its SQL; ``overlap_guard_full`` is the whole guard."""
     (bench,) = load(spark, sf_dir, "benchmark")
     rows = canonical_rows(spark, sf_dir).select("doc_id", F.col("normalized_text_sha256").alias("h"))
     held = bench.select(X.text_hash(F.col("text")).alias("h")).union(rows.where("doc_id % 10 = 0").select("h")).distinct().withColumn("hit", F.lit(True))
@@ -270,6 +270,21 @@ def overlap_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.when(F.col("hit"), "normalized_exact").alias("reason"))
 
 
+def _overlap_values(doc: DataFrame) -> DataFrame:
+    """The texts of ``doc`` as the three values that overlap is judged by."""
+    return doc.withColumns({"hash": X.text_hash(F.col("text")), "strict": X.leakage_hash(F.col("text")), "fp": X.fingerprint(F.col("text"))}).drop("text")
+
+
+@query("overlap_guard_full")
+def overlap_guard_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that repeat a held-out text: exact, then strict, then near."""
+    (bench,) = load(spark, sf_dir, "benchmark")
+    rows = _overlap_values(canonical_rows(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
+    values = ["hash", "strict", "fp"]
+    held = _overlap_values(bench.select("text")).select(values).union(rows.where("id % 10 = 0").select(values))
+    return C.overlap_reasons(rows.where("id % 10 <> 0"), held).withColumnRenamed("id", "doc_id")
+
+
 @query(
     "reverse_guard",
     f"""WITH {CANONICAL_SQL}, x AS (SELECT doc_id, h, doc_id % 4 AS ds FROM canon),
@@ -277,12 +292,21 @@ def overlap_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT x.doc_id, min(r.seq) AS first_reference FROM x JOIN r ON x.h = r.h AND x.ds <> r.ds GROUP BY x.doc_id""",
 )
 def reverse_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of other datasets block a candidate; the first in order is named."""
+    """References of other datasets block a candidate; the first in order is named.
+    By normalised hash alone, as its SQL; ``reverse_guard_full`` is the whole guard."""
     rows = canonical_rows(spark, sf_dir).select("doc_id", F.col("normalized_text_sha256").alias("h"), (F.col("doc_id") % 4).alias("ds"))
     refs = rows.groupBy("h", F.col("ds").alias("rds")).agg(F.min("doc_id").alias("seq"))
     return rows.join(refs, "h").where("ds <> rds").groupBy("doc_id").agg(F.min("seq").alias("first_reference"))
 
 
+@query("reverse_guard_full")
+def reverse_guard_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of other datasets block a candidate by exact, strict or near
+    overlap; the first in order is named with its first reason."""
+    rows = canonical_rows(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), (F.col("doc_id") % 4).alias("ds"), "text")
+    return C.first_references(_overlap_values(rows)).withColumnRenamed("id", "doc_id")
+
+
 @query(
     "components_by_lineage",
     f"""WITH RECURSIVE {CANONICAL_SQL}, n AS (SELECT doc_id, h, group_id AS g FROM canon),
@@ -291,7 +315,7 @@ def reverse_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT x AS doc_id, min(y) AS component FROM c GROUP BY x""",
 )
 def components_by_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components over equal texts and shared lineages."""
+    """Components over equal texts and shared lineages, as its SQL; ``components_near`` adds near copies."""
     from loomwright.operators.graph import connected_components
 
     rows = canonical_rows(spark, sf_dir).select("doc_id", F.col("normalized_text_sha256").alias("h"), F.col("group_id").alias("g"))
@@ -300,6 +324,20 @@ def components_by_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id").join(found, rows.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
+@query("components_near")
+def components_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over equal texts, near copies and shared lineages."""
+    from loomwright.operators.graph import connected_components
+
+    rows = canonical_rows(spark, sf_dir).select("doc_id", F.col("normalized_text_sha256").alias("hash"), F.col("group_id").alias("g"), X.fingerprint(F.col("text")).alias("fp"))
+    star = lambda *k: rows.join(rows.groupBy(*k).agg(F.min("doc_id").alias("b")), list(k)).select(F.col("doc_id").alias("a"), "b")
+    owner = rows.where("fp IS NOT NULL").groupBy("hash", "fp").agg(F.min("doc_id").alias("a"))
+    near = C.near_texts(rows, rows).join(owner, ["hash", "fp"])
+    near = near.join(owner.select(F.col("hash").alias("near_hash"), F.col("fp").alias("near_fp"), F.col("a").alias("b")), ["near_hash", "near_fp"]).select("a", "b")
+    found = connected_components(star("hash").union(star("g")).union(near))
+    return rows.select("doc_id").join(found, rows.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+
 @query(
     "split_disjointness",
     f"""WITH {CANONICAL_SQL}, s AS (SELECT *, {SPLIT3} AS split FROM canon)
