@@ -3,17 +3,20 @@
 Every root-to-leaf tag path of a page gathers the length and the punctuation
 of its text nodes; both, per node, are smoothed along the paths in page order
 and fused into one score. Paths above a threshold, relative to the spread of
-the scores, are content; the smallest container that holds them all is the
+the scores, are content; the article or main element around them, or else the
+smallest container that holds them all and the headings before them, is the
 article, of which every block is kept whatever its own length, so that short
 paragraphs and headings survive. Paths through menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, known
-by element, role or class, never take part.
+by element, role or class, never take part; a class that only names a part of
+the layout, as of a wrapper with a sidebar, does not remove the article in it.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -47,24 +50,32 @@ OUT_WORDS = frozenset(
     comment comments commentlist disqus respond reply replies related recommended share sharing social newsletter subscribe subscription
     signup login search toolbar widget pagination pager skip""".split()
 )
+#: Words among them that wrappers of the whole page bear too.
+LAYOUT_WORDS = frozenset("sidebar header masthead footer banner menu nav navbar navigation toolbar widget overlay".split())
 KEPT = frozenset(("html", "body", "main"))
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements that are never the container of an article.
+PARTS = frozenset(("p", *HEADINGS, "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption"))
+SENTENCE = re.compile(r"[.!?。！？…]")
 #: A path is content above this part of the scores' standard deviation.
 SPREAD = 0.5
 #: In a page without an article element, a path of which more is link text is none.
 LINK_SHARE = 0.6
 
 
-def named_out(attrs: str) -> bool:
-    """Whether class, id or role name something that is not the article."""
+def named_out(attrs: str) -> str:
+    """Whether class, id or role name something that is not the article:
+    '' (no), 'hidden', 'layout' (by words of the layout alone) or 'other'."""
+    found: set[str] = set()
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "hidden"
         for part in value.split():
             words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", part).lower())
-            if words and words[0] not in ("has", "with", "no") and not OUT_WORDS.isdisjoint(words):
-                return True
-    return False
+            if words and words[0] not in ("has", "with", "no"):
+                found |= OUT_WORDS.intersection(words)
+    return "" if not found else "layout" if found <= LAYOUT_WORDS else "other"
 
 
 class _Paths:
@@ -92,17 +103,41 @@ class _Paths:
                 b = self.parent[b]
         return a
 
+    def under(self, p: int, tags: tuple[str, ...]) -> bool:
+        while p > 0:
+            if self.tag[p] in tags:
+                return True
+            p = self.parent[p]
+        return False
+
+
+@dataclass
+class _Cut:
+    """An element that its class, id or role removes, and what is lost by it."""
+
+    place: int
+    parent: int | None
+    layout: bool
+    article: bool = False
+    texts: list[tuple[int, str]] = field(default_factory=list)
 
-def parse(page: str) -> tuple[_Paths, list[tuple[int, int, str]]]:
-    """The paths of a page and its text nodes: (path, block, text)."""
-    paths, nodes = _Paths(), []
-    stack: list[tuple[str, int]] = []
+
+def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[_Paths, list[tuple[int, int, str]], list[_Cut], bool]:
+    """The paths of a page, its text nodes (path, block, text), the elements
+    removed by name, outer ones first, and whether an article or main element
+    stays. Names of elements that end at a place in ``spared`` do not count."""
+    paths, nodes, cuts, stays = _Paths(), [], [], False
+    #: Open elements: tag, path, innermost cut, whether out whatever its name.
+    stack: list[tuple[str, int, int | None, bool]] = []
     here = block = at = 0
     while at < len(page):
         m = MARK.search(page, at)
         end = m.start() if m else len(page)
-        if end > at and not paths.out[here]:
-            nodes.append((here, block, page[at:end]))
+        if end > at:
+            if not paths.out[here]:
+                nodes.append((here, block, page[at:end]))
+            elif not stack[-1][3]:
+                cuts[stack[-1][2]].texts.append((here, page[at:end]))
         if not m:
             break
         at = m.end()
@@ -136,15 +171,63 @@ def parse(page: str) -> tuple[_Paths, list[tuple[int, int, str]]]:
                 here = stack[-1][1] if stack else 0
                 continue
             parent = stack[-1][1] if stack else 0
-            out = tag in OUT or bool(attrs) and tag not in KEPT and named_out(attrs)
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
                 at = stop.end()
                 here = parent
                 continue
-            stack.append((tag, paths.child(parent, tag, out)))
+            name = named_out(attrs) if attrs and tag not in KEPT else ""
+            cut, hard = stack[-1][2:] if stack else (None, False)
+            hard = hard or tag in OUT or name == "hidden"
+            if name and at in spared:
+                name = ""
+            if name and not hard:
+                cuts.append(_Cut(at, cut, name == "layout"))
+                cut = len(cuts) - 1
+            if tag in ("article", "main") and not hard:
+                if cut is None:
+                    stays = True
+                else:
+                    cuts[cut].article = True
+            stack.append((tag, paths.child(parent, tag, tag in OUT or bool(name)), cut, hard))
         here = stack[-1][1] if stack else 0
-    return paths, nodes
+    return paths, nodes, cuts, stays
+
+
+def wrappers(paths: _Paths, nodes: list[tuple[int, int, str]], cuts: list[_Cut], stays: bool) -> set[int]:
+    """Places of the removed elements that hold the article.
+
+    Where no other article or main element stays: those around one, if they
+    are named by the layout or nothing else on the page is a sentence; without
+    any such element, and without a sentence, the layout that holds most text."""
+    if stays or not any(c.article or c.layout for c in cuts):
+        return set()
+    plain = lambda found: any(SENTENCE.search(t) and not paths.under(p, (*HEADINGS, "a")) for p, t in found)
+    rest = plain((p, t) for p, _, t in nodes)
+    out: set[int] = set()
+    if any(c.article for c in cuts):
+        fine: list[bool] = []  # whether all names from here outwards may be ignored
+        for c in cuts:
+            fine.append((c.layout or not rest) and (c.parent is None or fine[c.parent]))
+        for k, c in enumerate(cuts):
+            at = k if c.article and fine[k] else None
+            while at is not None and cuts[at].place not in out:
+                out.add(cuts[at].place)
+                at = cuts[at].parent
+        return out
+    sizes = [sum(len(t.strip()) for _, t in c.texts) for c in cuts]
+    inner: dict[int | None, list[int]] = {}
+    for k in range(len(cuts) - 1, -1, -1):
+        if cuts[k].parent is not None:
+            sizes[cuts[k].parent] += sizes[k]
+        if cuts[k].layout:
+            inner.setdefault(cuts[k].parent, []).append(k)
+    at = None
+    while not rest and at in inner:
+        at = max(inner[at], key=lambda k: (sizes[k], -k))
+        out.add(cuts[at].place)
+        rest = plain(cuts[at].texts)
+    return out if rest else set()
 
 
 def smooth(x: np.ndarray) -> np.ndarray:
@@ -153,6 +236,57 @@ def smooth(x: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
+def within(paths: _Paths, p: int, root: int) -> bool:
+    while p > root:  # a path's number is above its parent's
+        p = paths.parent[p]
+    return p == root
+
+
+def element_root(paths: _Paths, nodes: list[tuple[int, int, str]], root: int) -> int:
+    """The outermost article element around ``root``, or the main element where
+    there is none or only that one holds a heading before it; else the page."""
+    article = main = 0
+    p = root
+    while p > 0:
+        if paths.tag[p] == "article":
+            article = p
+        elif paths.tag[p] == "main":
+            main = p
+        p = paths.parent[p]
+    if not article or not main or paths.depth[article] < paths.depth[main]:
+        return article or main
+    for p, _, text in nodes:
+        if text.strip() and within(paths, p, main) and paths.under(p, HEADINGS):
+            return article if within(paths, p, article) else main
+    return article
+
+
+def headed_root(paths: _Paths, nodes: list[tuple[int, int, str]], root: int) -> int:
+    """The nearest container of ``root`` that holds the headings before it too:
+    the last heading, and every earlier one of a higher level. Linked headings,
+    as of a site's name, do not count."""
+    level = len(HEADINGS) + 1
+    before: list[tuple[int, int]] = []
+    for p, _, text in nodes:
+        if not text.strip():
+            continue
+        q = p
+        while q > 0 and paths.tag[q] not in HEADINGS:
+            q = paths.parent[q]
+        if within(paths, p, root):
+            if q > root:
+                level = HEADINGS.index(paths.tag[q]) + 1
+            break
+        if q > 0 and not paths.under(p, ("a",)):
+            before.append((HEADINGS.index(paths.tag[q]) + 1, q))
+    for rank, q in reversed(before):
+        if rank < level:
+            root, level = paths.common(root, q), rank
+    while root > 0 and (paths.tag[root] in INLINE or paths.tag[root] in PARTS):
+        root = paths.parent[root]
+    return root
+
+
 def article_root(paths: _Paths, nodes: list[tuple[int, int, str]]) -> tuple[int, set[int]]:
     """The container of the content paths, and the paths in it to leave out."""
     stats: dict[int, list[int]] = {}
@@ -166,14 +300,7 @@ def article_root(paths: _Paths, nodes: list[tuple[int, int, str]]) -> tuple[int,
     if not stats:
         return 0, set()
 
-    def under(p: int, tags: tuple[str, ...]) -> bool:
-        while p > 0:
-            if paths.tag[p] in tags:
-                return True
-            p = paths.parent[p]
-        return False
-
-    marked = {p for p in stats if under(p, ("article", "main"))}
+    marked = {p for p in stats if paths.under(p, ("article", "main"))}
     keys = [p for p in stats if not marked or p in marked]
     values = np.array([stats[p] for p in keys], float)
     length, marks = smooth(values[:, 0] / values[:, 2]), smooth(values[:, 1] / values[:, 2])
@@ -183,14 +310,15 @@ def article_root(paths: _Paths, nodes: list[tuple[int, int, str]]) -> tuple[int,
     root = content[0]
     for p in content[1:]:
         root = paths.common(root, p)
-    while root > 0 and (paths.tag[root] in INLINE or paths.tag[root] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "dd")):
+    while root > 0 and (paths.tag[root] in INLINE or paths.tag[root] in PARTS):
         root = paths.parent[root]
     if marked:
-        return root if under(root, ("article", "main")) else 0, set(stats) - marked
+        return element_root(paths, nodes, root), set(stats) - marked
+    root = headed_root(paths, nodes, root)
     links: dict[int, int] = {}
     total: dict[int, int] = {}
     for p, s in stats.items():
-        q, linked = p, under(p, ("a",))
+        q, linked = p, paths.under(p, ("a",))
         while q > 0 and paths.tag[q] in INLINE:
             q = paths.parent[q]
         total[q] = total.get(q, 0) + s[0]
@@ -210,7 +338,9 @@ def main_text(page: str | None) -> str:
     joined by blank lines. Null, empty and textless pages give ''."""
     if not page:
         return ""
-    paths, nodes = parse(page)
+    paths, nodes, cuts, stays = parse(page)
+    if held := wrappers(paths, nodes, cuts, stays):
+        paths, nodes, _, _ = parse(page, frozenset(held))
     root, leave = article_root(paths, nodes)
     blocks: list[list[str]] = []
     last, inside = None, {root: True, 0: root == 0}
