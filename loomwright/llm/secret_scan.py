@@ -29,17 +29,18 @@ from loomwright.llm.common import small_batches
 SAMPLE, TREES, DEPTH, LEAST_LEAF, SEED = 4000, 40, 9, 3, 11
 THRESHOLD, NEAR_CHARS = 0.5, 40
 
-# Public formats of credentials, first match wins.
+# Public formats of credentials, first match wins. Runs have no
+# upper bound and are possessive, so a candidate is whole and a scan linear.
 KINDS = [
     ("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("github_token", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-    ("slack_token", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,72}"),
+    ("slack_token", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+"),
     ("google_key", r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}"),
-    ("stripe_key", r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,99}"),
+    ("stripe_key", r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,}+"),
     ("jwt", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    ("assigned", r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[a-zA-Z_]{0,12}[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?P<v>[^\s\"',;<>]{6,200})"),
-    ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,80}[0-9])(?=[0-9+/_=-]{0,80}[A-Za-z])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])"),
+    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{32,}+)*+)"),
+    ("assigned", r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[a-zA-Z_]{0,12}[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?P<v>[^\s\"',;<>]{6,}+)"),
+    ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"),
 ]
 CANDIDATE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in KINDS))
 # Words beside a finding that speak for or against it.

@@ -1,6 +1,12 @@
 """The training-data operators over the whole job: what was cut before."""
 
-from loomwright.llm import html_text
+import random
+import string
+import time
+
+import public_tokenizers
+
+from loomwright.llm import html_text, secret_scan
 
 LONG = "A sentence, of some length; with marks, more marks, and an end. " * 8
 
@@ -33,3 +39,35 @@ def test_html_class_words_do_not_remove_the_article():
     assert html_text.main_text(f"<body><div class=comments>{one}</div></body>") == ""
     assert html_text.main_text(f"<body><div class='sidebar' hidden>{one}</div></body>") == ""
     assert isinstance(html_text.main_text("<div class=sidebar>" * 3000 + LONG), str)
+
+
+def test_secret_candidates_are_whole():
+    r = random.Random(6)
+    pick = lambda n, extra="": "".join(r.choice(string.ascii_letters + string.digits + extra) for _ in range(n))
+    span = lambda text: [(text[s:e], k) for s, e, k in secret_scan.candidates(text)]
+    for n in (20, 198, 201, 360, 5000):
+        key = pick(n - 2, "+/") + "a1"
+        assert span(f"see {key} there") == [(key, "opaque")]
+        assert span(f'token="{key}" there') == [(key, "assigned")]
+    late = "a" * 300 + "1"
+    assert span(f"see {late} there") == [(late, "opaque")]
+    for lead, kind in (("xoxb-", "slack_token"), ("sk_live_", "stripe_key")):
+        key = lead + pick(300)
+        assert span(f"see {key} there") == [(key, kind)]
+    body = "\n".join(pick(64, "+/") for _ in range(25)) + "\nQ1=="
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert span(f"see {pem} there") == [(pem, "private_key")]
+    cut = pem[: pem.index("\nQ1")]
+    assert span(f"{cut} {cut}") == [(cut, "private_key")] * 2
+    assert span("see -----BEGIN PRIVATE KEY----- there") == [("-----BEGIN PRIVATE KEY-----", "private_key")]
+    words = secret_scan.dictionary(public_tokenizers.path("word_bpe_49k.json"))
+    forest = secret_scan.fit_forest(secret_scan.sample_findings(), words)
+    texts = [pem, f'token="{pick(900)}"', "sha256 " + "".join(r.choice("0123456789abcdef") for _ in range(400))]
+    assert [f[0][4] >= secret_scan.THRESHOLD for f in secret_scan.judge(forest, words, [""] * 3, texts)] == [True, True, False]
+
+
+def test_secret_candidates_in_linear_time():
+    for piece in ("a", "-----BEGIN PRIVATE KEY-----\n", "a1", "-", "token", "eyJ"):
+        began = time.process_time()
+        secret_scan.candidates(piece * (400_000 // len(piece)))
+        assert time.process_time() - began < 3, piece
