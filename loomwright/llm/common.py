@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The white space of the contracts: U+0020 and U+0009 to U+000D.
 WHITE = "[\\x20\\x09-\\x0D]+"
+#: Whether a query's shuffle files are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes of one Arrow batch: long texts must not pile up in a Python worker.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
@@ -32,10 +34,16 @@ def scratch_root(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder, read it
-    back. The path goes to ``scratch``, for :func:`discard`."""
+    back. The path goes to ``scratch``, for :func:`discard`. Nothing reads the
+    shuffle files of the write again, so they go with it."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     if scratch is not None:
         scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,15 +8,25 @@ where T is the overlap they need. Each document lengthens its prefix, raising
 longer prefix adds; a pair must then share min(l, l') prefix shingles before
 it is verified on the whole sets.
 
+The order comes from document frequencies counted over all documents. Chunks
+of documents deal their distinct shingles to hash ranges as blocks of 32-bit
+keys, the ranges count, and each block gets the binary logarithms of its
+frequencies back. Shingles of one document only come first in every order and
+are never posted, so documents meet over what others hold as well.
+
 Links are found without listing pairs within a group:
 
 1. documents of equal sets form a class, known by its smallest id;
-2. each class is verified against the few *pivots* it shares most prefix
-   shingles with (of the documents that hold a shingle, the pivot is the one
-   that has it earliest: the least edited of a family of copies);
+2. rounds of *pivots*: of each prefix shingle's holders, one in its commonest
+   component is the pivot of those in other components (at first the holder
+   that has the shingle earliest: the least edited of a family of copies);
+   each class is verified against the nearest pivot by parity sketch, and
+   links contract components, until the pairs left are no more than postings
+   or a round hardly lessens them;
 3. only pairs that those links leave in different components become
    candidates of the full multi-match join, in which of each shingle's holders
-   those outside its commonest component meet the others.
+   those outside its commonest component meet the others. The sketch bounds
+   the difference of two sets from below, so it drops no link.
 
 Every pair that is similar enough is thus either inside a component already or
 verified, so components are exact. Nothing is capped or sampled.
@@ -26,30 +36,31 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from loomwright.llm.common import discard, small_batches, stored
 from loomwright.llm.components import components
 
-#: Shingles are counted in so many buckets of so many tables for the global order,
-#: a sketch of fixed size; the least of a shingle's counts orders it, so that a rare
-#: one seldom passes for frequent.
-BUCKETS, TABLES, BLOCK = 1 << 18, 3, 4096
-#: Partial sketches are summed in so many lanes before they meet.
-LANES = 64
+#: Bytes of text in a chunk, and in a hash range's share: as small as the first,
+#: beyond PARTS of them as large as the second.
+CHUNK_BYTES, MOST_BYTES, PARTS = 8 << 20, 64 << 20, 2048
 #: Longest multi-match; what a prefix shingle costs, and what each shingle of a
 #: candidate does: its sets are fetched, moved and intersected.
 MOST_MATCHES, ROW_COST, VERIFY_COST = 8, 1.0, 2.0
-#: Pivots that a class is verified against before the full join.
-PIVOTS = 2
+#: Words of 64 bits in a parity sketch; another round of pivots must leave less than this part of the pairs.
+SKETCH, PROGRESS = 4, 0.8
+#: Salts of one class of equal sets on the way back to its documents.
+SALTS = 32
+
+PROFILE = "doc_id long, n int, sig binary, l int, pos array<int>, tokens array<long>, sketch array<long>, members array<long>"
+TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+POST = ["token", "rep", "n", "l", "pos", *(f"s{i}" for i in range(SKETCH))]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,118 +83,132 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def cells(s: np.ndarray) -> np.ndarray:
-    """The cells of shingles in the sketch, a row per table."""
-    return np.stack([((s >> np.uint64(20 * t)) & np.uint64(BUCKETS - 1)).astype(np.int64) + t * BUCKETS for t in range(TABLES)])
-
-
 def needed(n: int, percent: int) -> int:
     """The overlap that a set of n shingles has with any set similar enough."""
     return (percent * n + 99) // 100
 
 
-def prefix(s: np.ndarray, weight: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """The multi-match number and the prefix, rarest shingles first."""
+def prefix(s: np.ndarray, level: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """The multi-match number, and where in ``s`` its prefix is, rarest first.
+    ``level`` holds the binary logarithms of the shingles' frequencies."""
     n = len(s)
-    counts = weight[cells(s)].min(axis=0)
     least = n - needed(n, percent) + 1
     most = min(MOST_MATCHES, needed(n, percent))
     if least + most - 1 < n // 2:  # only the first few are needed in order
-        near = np.argpartition(counts, least + most)
-        near = np.nonzero(counts <= counts[near[least + most]])[0]
+        near = np.argpartition(level, least + most)
+        near = np.nonzero(level <= level[near[least + most]])[0]
     else:
         near = np.arange(n)
-    order = near[np.lexsort((s[near], counts[near]))][: least + most - 1]
-    found = np.cumsum(counts[order])
+    order = near[np.lexsort((s[near], level[near]))][: least + most - 1]
+    found = np.cumsum(np.exp2(level[order]) - 1)
     l = np.arange(1, most + 1)
     hits = found[np.minimum(least + l - 2, len(order) - 1)]
     cost = ROW_COST * (hits + least + l) + VERIFY_COST * n * hits / l**2
     best = int(np.argmin(cost)) + 1
-    return best, s[order[: least + best - 1]]
-
-
-def _columns(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
-
-def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """Per document its size and signature, and per partition the bucket counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(TABLES * BUCKETS, np.int64)
-        names, kinds = ["doc_id", "n", "sig", "block", "lane", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, k)
-                np.add.at(counts, cells(s).ravel(), 1)
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), None, None, None))
-            yield _columns(rows, kinds, names)
-        lane = TaskContext.get().partitionId() % LANES
-        parts = counts.reshape(-1, BLOCK)
-        yield _columns([(None, None, None, k, lane, part.tobytes()) for k, part in enumerate(parts) if part.any()], kinds, names)
-
-    return docs.mapInArrow(run, "doc_id long, n int, sig binary, block int, lane int, counts binary")
-
-
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """The summed cells. Blocks of cells are added as arrays, by lane first, so
-    a group holds few blocks however many partitions there are; what comes to
-    the driver is TABLES * BUCKETS numbers."""
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BLOCK, np.int64)
-        for part in rows["counts"]:
-            total += np.frombuffer(part, np.int64)
-        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "counts": [total.tobytes()]})
-
-    kind = "block int, counts binary"
-    lanes = profile.where("block IS NOT NULL").select("block", "lane", "counts").groupBy("block", "lane").applyInPandas(add, kind)
-    out = np.zeros(TABLES * BUCKETS, np.int64).reshape(-1, BLOCK)
-    for r in lanes.groupBy("block").applyInPandas(add, kind).collect():
-        out[r.block] = np.frombuffer(bytes(r.counts), np.int64)
-    return out.ravel()
-
-
-def _prefixes(docs: DataFrame, weight: np.ndarray, k: int, percent: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(weight)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, k)
-                if len(s):
-                    l, tokens = prefix(s, w, percent)
-                    rows.append((doc_id, len(s), l, tokens.view(np.int64)))
-            yield _columns(rows, [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())], ["rep", "n", "l", "tokens"])
-
-    return docs.mapInArrow(run, "rep long, n int, l int, tokens array<long>")
-
-
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, shingles(t, k).view(np.int64)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield _columns(rows, [pa.int64(), pa.list_(pa.int64())], ["rep", "members"])
-
-    return docs.mapInArrow(run, "rep long, members array<long>")
+    return best, order[: least + best - 1]
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parity sketch: bit b tells whether an odd number of shingles fall on
+    it. Sets that differ in d shingles differ in d bits at most."""
+    odd = np.bincount((s >> np.uint64(24)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def _dealt(u: np.ndarray, parts: int) -> np.ndarray:
+    """Where in the sorted shingles ``u`` each of the hash ranges begins; and the end."""
+    of = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return np.searchsorted(of, np.arange(parts + 1, dtype=np.uint64))
+
+
+def _frequencies(docs: DataFrame, k: int, parts: int) -> DataFrame:
+    """Per (chunk, range) which of the block's shingles several documents hold,
+    as bits, and the binary logarithms of how many do."""
+
+    def deal(rows: pa.Table) -> pa.Table:
+        sets = [shingles(t, k) for t in rows["text"].to_pylist()]
+        u, n = np.unique(np.concatenate(sets), return_counts=True)
+        cuts, out = _dealt(u, parts), []
+        low = u.astype(np.uint32)
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[r], cuts[r + 1])
+            more = np.flatnonzero(n[own] > 1).astype(np.uint32)
+            out.append((rows["chunk"][0].as_py(), r, low[own].tobytes(), more.tobytes(), n[own][more].astype(np.uint32).tobytes()))
+        cols = list(zip(*out)) if out else [()] * 5
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["chunk", "part", "keys", "more", "counts"])
+
+    def tally(rows: pa.Table) -> pa.Table:
+        blocks = [np.frombuffer(b, np.uint32) for b in rows["keys"].to_pylist()]
+        ends = np.cumsum([len(b) for b in blocks])
+        held = np.ones(ends[-1], np.float64)
+        for end, block, more, n in zip(ends.tolist(), blocks, rows["more"].to_pylist(), rows["counts"].to_pylist(), strict=True):
+            held[end - len(block) + np.frombuffer(more, np.uint32).astype(np.int64)] = np.frombuffer(n, np.uint32)
+        _, at = np.unique(np.concatenate(blocks), return_inverse=True)
+        level = np.floor(np.log2(np.bincount(at, held)))[at].astype(np.uint8)
+        parts_of = np.split(level, ends[:-1])
+        bits = [np.packbits(x > 0).tobytes() for x in parts_of]
+        return pa.Table.from_arrays(
+            [rows["chunk"], rows["part"], pa.array(bits, pa.binary()), pa.array([x[x > 0].tobytes() for x in parts_of], pa.binary())],
+            ["chunk", "part", "bits", "levels"],
+        )
+
+    blocks = docs.select("chunk", "text").groupBy("chunk").applyInArrow(deal, "chunk int, part int, keys binary, more binary, counts binary")
+    return blocks.groupBy("part").applyInArrow(tally, "chunk int, part int, bits binary, levels binary")
+
+
+def _profile(docs: DataFrame, frequencies: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
+    """Per document its size and signature; for one of each chunk's equal sets
+    also the prefix shingles that other documents hold, with their places, the
+    sketch and the whole set, if any of its prefix is shared."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        ids = rows["doc_id"].to_pylist()
+        sets = [shingles(t, k) for t in rows["text"].to_pylist()]
+        ends = np.cumsum([len(s) for s in sets])
+        u, at = np.unique(np.concatenate(sets or [np.empty(0, np.uint64)]), return_inverse=True)
+        cuts, level = _dealt(u, parts), np.zeros(len(u), np.int64)
+        for r, bits, levels in zip(answers["part"].to_pylist(), answers["bits"].to_pylist(), answers["levels"].to_pylist(), strict=True):
+            a, b = cuts[r], cuts[r + 1]
+            level[a + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a))] = np.frombuffer(levels, np.uint8)
+        signs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        first: dict[tuple, int] = {}
+        for i, own in enumerate(ids):
+            if own is not None and (j := first.setdefault((len(sets[i]), signs[i]), i)) != i and own < ids[j]:
+                first[len(sets[i]), signs[i]] = i
+        out = []
+        for i, (own, s, sig) in enumerate(zip(ids, sets, signs, strict=True)):
+            more = (None,) * 5
+            if len(s) and first.get((len(s), sig)) == i:
+                mine = level[at[ends[i] - len(s) : ends[i]]]
+                l, where = prefix(s, mine, percent)
+                pos = np.flatnonzero(mine[where] > 0).astype(np.int32)
+                if len(pos):
+                    more = (l, pos, s[where[pos]].view(np.int64), parity(s), s.view(np.int64))
+            out.append((own, len(s), sig, *more))
+        cols = list(zip(*out)) if out else [()] * len(TYPES)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)], PROFILE.replace(",", "").split()[::2])
+
+    return docs.groupBy("chunk").cogroup(frequencies.groupBy("chunk")).applyInArrow(run, PROFILE)
+
+
+def _apart() -> Column:
+    """The least that the sets of a posting and of another (columns with 1) differ in."""
+    return sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}1"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("s01"))))
 
 
 def _within(percent: int) -> Column:
     """Of a shingle that two sets (n, pos, l and n1, pos1, l1) share: whether
     their sizes allow the similarity, the shingle lies within the prefixes that
-    this pair's own overlap asks for, and what can be common before and behind
-    it is enough for that overlap."""
+    this pair's own overlap asks for, what can be common before and behind it
+    is enough for that overlap, and so is what the sketches leave."""
     n, m = F.col("n"), F.col("n1")
     need = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
     l = F.least("l", "l1")
     sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
     p, q = F.col("pos"), F.col("pos1")
     enough = F.least(p, q) + F.least(n - p, m - q) >= need
-    return sizes & (p < n - need + l) & (q < m - need + l) & enough
+    return sizes & (p < n - need + l) & (q < m - need + l) & enough & (_apart() <= n + m - 2 * need)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,6 +220,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
+def _contracted(known: DataFrame, links: DataFrame, scratch: list[str]) -> DataFrame:
+    """``known`` (rep, c) once the components that ``links`` (a, b) join are one."""
+    of = lambda side: known.select(F.col("rep").alias(side), F.col("c").alias(f"c_{side}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    roots = components(edges, scratch).withColumnRenamed("node", "c")
+    return stored(known.join(roots, "c", "left").select("rep", F.coalesce("component", "c").alias("c")), "jaccard-components", scratch)
+
+
 def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -207,53 +240,58 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     small_batches(spark)
     scratch: list[str] = []
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    profile = stored(_profile(rows, k), "jaccard-profile", scratch)
-    slim = profile.where("block IS NULL").select("doc_id", "n", "sig")
-    weight = _sketch(profile)
-    base = np.median(weight.reshape(TABLES, -1), axis=1).repeat(BUCKETS)
-    weight = (np.maximum(weight - base, 0) + 1.0 / BUCKETS).astype(np.float32)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // min(max(size // PARTS, CHUNK_BYTES), MOST_BYTES)))
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts)).cast("int"))
+    frequencies = stored(_frequencies(chunked, k, parts), "jaccard-frequencies", scratch)
+    profile = stored(_profile(chunked, frequencies, k, percent, parts), "jaccard-profile", scratch)
+    slim = profile.select("doc_id", "n", "sig", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     live = slim.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(live.groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "jaccard-classes", scratch)
-    reps = classes.select("rep").distinct()
-    pre = stored(_prefixes(rows, weight, k, percent).join(reps, "rep", "left_semi"), "jaccard-prefixes", scratch)
-    posts = pre.select("rep", "n", "l", F.posexplode("tokens").alias("pos", "token"))
-    rank = F.shiftleft(F.col("pos").cast("long"), 40) + F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))
-    lead = [F.min_by(c, rank).alias(f"{c}1") for c in ("rep", "n", "l", "pos")]
-    tops = posts.groupBy("token").agg(F.count("*").alias("df"), *lead).where("df > 1").drop("df")
-    shared = stored(posts.join(tops, "token"), "jaccard-shared", scratch)
-    votes = shared.where(F.col("rep") != F.col("rep1")).where(_within(percent)).groupBy("rep", F.col("rep1").alias("pivot"))
-    votes = votes.agg(F.count("*").alias("v"), F.min(F.least("l", "l1")).alias("l")).where("v >= l")
-    best = F.row_number().over(W.Window.partitionBy("rep").orderBy(F.desc("v"), "pivot"))
-    stars = stored(
-        votes.withColumn("k", best).where(F.col("k") <= PIVOTS).select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "jaccard-stars", scratch
-    )
-    seen = stars.select("a").union(stars.select("b")).distinct()
-    fetch = lambda ids: _sets(rows.join(ids.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi"), k)
-    sets = stored(fetch(seen), "jaccard-sets", scratch)
-    links = stored(_verified(stars, sets, percent), "jaccard-links", scratch)
-    first = components(links, scratch)
+    salted = live.groupBy("n", "sig", "salt").agg(F.min("doc_id").alias("low"))
+    classes = salted.groupBy("n", "sig").agg(F.min("low").alias("rep"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask"))
+    classes = stored(classes, "jaccard-classes", scratch)
+    own = profile.where("l IS NOT NULL").join(classes.select("n", "sig", F.col("rep").alias("doc_id")), ["n", "sig", "doc_id"], "left_semi")
+    sets = own.select(F.col("doc_id").alias("rep"), "members")
+    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    posts = own.select(F.col("doc_id").alias("rep"), "n", "l", *words, F.explode(F.arrays_zip("pos", "tokens")).alias("t"))
+    posts = stored(posts.withColumns({"pos": F.col("t.pos"), "token": F.col("t.tokens")}).select(POST), "jaccard-posts", scratch)
+    total, left = posts.count(), float("inf")
+    known = stored(posts.select("rep").distinct().withColumn("c", F.col("rep")), "jaccard-components", scratch)
+    tested = stored(posts.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0), "jaccard-tested", scratch)
+    for turn in count():
+        home = posts.join(known, "rep")
+        rank = F.struct(F.col("pos") if turn == 0 else F.lit(0), F.xxhash64("rep", F.lit(turn)))
+        lead = F.struct(*(F.col(x).alias(f"{x}1") for x in POST[1:]))
+        by_component = home.withColumn("rank", rank).groupBy("token", "c").agg(
+            F.count("*").alias("m"), F.min_by(lead, "rank").alias("lead"), F.min("rank").alias("rank")
+        )
+        first = F.struct(-F.col("m"), "rank")
+        tops = by_component.groupBy("token").agg(
+            F.sum("m").alias("held"), F.max("m").alias("m"), F.min_by("lead", first).alias("lead"), F.min_by("c", first).alias("main")
+        ).where("held > m")
+        tops = stored(tops, "jaccard-pivots", scratch)
+        before, left = left, tops.agg(F.sum((F.col("held") - F.col("m")) * F.col("held"))).first()[0] or 0
+        if turn and (left <= total or left > PROGRESS * before):
+            break
+        met = home.join(tops.select("token", "main", "lead.*"), "token").where(F.col("c") != F.col("main")).where(_within(percent))
+        votes = met.groupBy(F.col("rep").alias("a"), F.col("rep1").alias("b")).agg(F.count("*").alias("v"), F.min(_apart()).alias("d"))
+        votes = votes.join(tested, ["a", "b"], "left_anti").groupBy("a").agg(F.min_by("b", F.struct("d", -F.col("v"), "b")).alias("b"))
+        pairs = stored(votes, "jaccard-stars", scratch)
+        links = stored(_verified(pairs, sets, percent), "jaccard-links", scratch)
+        known = _contracted(known, links, scratch)
+        tested = tested.unionByName(pairs)
     # Pairs across the components found so far.
-    home = shared.select("token", "rep", "n", "l", "pos").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    home = home.select("token", "rep", "n", "l", "pos", F.coalesce("component", "rep").alias("c"))
-    mixed = home.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
-    home = stored(home.join(mixed, "token", "left_semi"), "jaccard-home", scratch)
-    sizes = home.groupBy("token", "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("token").agg(F.max_by("c", "m").alias("main"))
-    few = home.join(main, "token").where("c <> main").select(*(F.col(x).alias(f"{x}1") for x in home.columns), "main")
+    mixed = home.join(tops.select("token", "main"), "token")
+    few = mixed.where("c <> main").select(*(F.col(x).alias(f"{x}1") for x in [*POST[1:], "c"]), "token")
     once = (F.col("c") == F.col("main")) | (F.col("rep") > F.col("rep1"))
-    near = (F.col("token") == F.col("token1")) & (F.col("c") != F.col("c1")) & once & _within(percent)
-    hits = few.join(home, near).groupBy(F.least("rep", "rep1").alias("a"), F.greatest("rep", "rep1").alias("b"))
-    pairs = stored(hits.agg(F.count("*").alias("v"), F.min(F.least("l", "l1")).alias("l")).where("v >= l").select("a", "b"), "jaccard-pairs", scratch)
-    pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = pairs.select("a").union(pairs.select("b")).distinct()
-    late = fetch(more.join(seen, "a", "left_anti"))
-    sets = sets.unionByName(stored(late, "jaccard-sets", scratch))
-    late_links = _verified(pairs, sets, percent)
-    found = components(links.unionByName(late_links), scratch)
-    named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = named.select(F.col("n").alias("n0"), "sig", F.coalesce("component", "rep").alias("component_id"))
-    out = slim.join(named, (F.col("n") == F.col("n0")) & (slim.sig == named.sig) & (F.col("n") > 0), "left")
-    out = out.select(
+    met = mixed.join(few, "token").where((F.col("c") != F.col("c1")) & once & _within(percent))
+    hits = met.groupBy(F.least("rep", "rep1").alias("a"), F.greatest("rep", "rep1").alias("b"))
+    pairs = hits.agg(F.count("*").alias("v"), F.min(F.least("l", "l1")).alias("l")).where("v >= l").select("a", "b")
+    pairs = stored(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "jaccard-pairs", scratch)
+    known = _contracted(known, stored(_verified(pairs, sets, percent), "jaccard-links", scratch), scratch)
+    salts_of = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("mask", s) == 1)
+    named = classes.join(known, "rep", "left").select("n", "sig", F.coalesce("c", "rep").alias("component_id"), F.explode(salts_of).alias("salt"))
+    out = slim.join(named, ["n", "sig", "salt"], "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),

@@ -4,9 +4,12 @@ import random
 import string
 import time
 
+import numpy as np
 import public_tokenizers
+import pytest
 
-from loomwright.llm import html_text, secret_scan
+from loomwright.llm import html_text, jaccard_join, secret_scan
+from tests.llm.test_llm import brute_components
 
 LONG = "A sentence, of some length; with marks, more marks, and an end. " * 8
 
@@ -71,3 +74,39 @@ def test_secret_candidates_in_linear_time():
         began = time.process_time()
         secret_scan.candidates(piece * (400_000 // len(piece)))
         assert time.process_time() - began < 3, piece
+
+
+def just_under(percent, rows, k):
+    """Copies of one text of which most pairs lie around the threshold, and a few repeats."""
+    r = random.Random(percent)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(rows):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.choice([1, 1, 2, 2, 3]) if percent == 90 else r.choice([1, 2, 3, 4])):
+            w[at] = f"x{i}n{at}"
+        texts.append(" ".join(w))
+    return texts + texts[:20] + [" ".join(base[:60])]
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_jaccard_join_of_a_family_around_the_threshold(spark, k, percent):
+    texts = just_under(percent, 500, k)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(jaccard_join.similar_classes(rows, k, percent).collect(), key=lambda x: x.doc_id)
+    sizes, found = brute_components(texts, k, percent)
+    assert [x.n_shingles for x in got] == sizes
+    assert [x.component_id for x in got] == found
+    assert 2 < len(set(found)) < 500  # neither one component nor none
+
+
+def test_jaccard_frequencies_order_the_shingles(spark):
+    texts = ["a b c d e f", "a b c d e g", "a b c x y z", "a b c"] * 3 + ["u v w x y"]
+    rows = spark.createDataFrame([(i, t, i % 4) for i, t in enumerate(texts)], "doc_id long, text string, chunk int")
+    table = jaccard_join._profile(rows, jaccard_join._frequencies(rows, 3, 4), 3, 90, 4)
+    posted = {r.doc_id: len(r.tokens) for r in table.where("tokens IS NOT NULL").collect()}
+    assert 12 not in posted and set(posted) == {0, 1, 2, 3}  # one of equal sets, none without a shared shingle
+    s = jaccard_join.shingles("a b c d e f", 3)
+    l, where = jaccard_join.prefix(s, np.array([3, 0, 2, 1]), 90)
+    assert where.tolist() == [1, 3, 2, 0][:l]
+    assert np.bitwise_count((jaccard_join.parity(s) ^ jaccard_join.parity(s[:2])).view(np.uint64)).sum() <= 2
