@@ -55,6 +55,8 @@ CHUNK_BYTES, MOST_BYTES, PARTS = 8 << 20, 64 << 20, 2048
 MOST_MATCHES, ROW_COST, VERIFY_COST = 8, 1.0, 2.0
 #: Words of 64 bits in a parity sketch; another round of pivots must leave less than this part of the pairs.
 SKETCH, PROGRESS = 4, 0.8
+#: So many ids at most are broadcast.
+FEW = 1 << 20
 #: Salts of one class of equal sets on the way back to its documents.
 SALTS = 32
 
@@ -212,7 +214,12 @@ def _within(percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) whose whole sets are similar enough. Only sets of their
+    members move: few members are broadcast to find them, many are joined."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    if members.count() <= FEW:
+        members = F.broadcast(members)
+    sets = sets.join(members, "rep", "left_semi")
     left = sets.select(F.col("rep").alias("a"), F.col("members").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("members").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -250,8 +257,9 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     salted = live.groupBy("n", "sig", "salt").agg(F.min("doc_id").alias("low"))
     classes = salted.groupBy("n", "sig").agg(F.min("low").alias("rep"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask"))
     classes = stored(classes, "jaccard-classes", scratch)
-    own = profile.where("l IS NOT NULL").join(classes.select("n", "sig", F.col("rep").alias("doc_id")), ["n", "sig", "doc_id"], "left_semi")
-    sets = own.select(F.col("doc_id").alias("rep"), "members")
+    leads = profile.where("l IS NOT NULL")
+    sets = leads.select(F.col("doc_id").alias("rep"), "members")
+    own = leads.drop("members").join(classes.select("n", "sig", F.col("rep").alias("doc_id")), ["n", "sig", "doc_id"], "left_semi")
     words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
     posts = own.select(F.col("doc_id").alias("rep"), "n", "l", *words, F.explode(F.arrays_zip("pos", "tokens")).alias("t"))
     posts = stored(posts.withColumns({"pos": F.col("t.pos"), "token": F.col("t.tokens")}).select(POST), "jaccard-posts", scratch)
