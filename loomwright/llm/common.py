@@ -57,6 +57,16 @@ def discard(spark: SparkSession, scratch: list[str]) -> None:
     scratch.clear()
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with columns named by position, so that names of one's own clash with none."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def original(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns that :func:`positional` renamed, under their names in ``like``."""
+    return df.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(like.columns)))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and by bytes, for plans made from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
