@@ -5,9 +5,11 @@ document and the probabilities of all categories before it. While training,
 those earlier probabilities are out-of-fold predictions, so that a later model
 learns from them as it will meet them. Features are word forms and the starts
 and ends of words, present or not anywhere in the whole text: a long text is
-not diluted. The models are fitted on a bounded sample of labelled rows
-(``TOXIC_ROWS`` and ``CLEAN_ROWS``, taken by a hash of the id); scoring covers
-every document in Arrow batches.
+not diluted. The models are fitted on a sample of labelled rows that the
+parameters ``positives`` and ``negatives`` of :func:`train` bound, taken by a
+hash of the id; executors count the features and turn the sample into indices
+of those chosen, so that only these reach the driver. Scoring covers every
+document in Arrow batches.
 """
 
 from __future__ import annotations
@@ -17,16 +19,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import small_batches
+from loomwright.llm.common import original, positional, small_batches, stored
 
-#: Labelled rows to fit on, with and without the last category.
-TOXIC_ROWS, CLEAN_ROWS = 1200, 3600
-FEATURES, LEAST_ROWS, FOLDS, ROUNDS, RIDGE = 1500, 5, 3, 120, 2e-3
+#: Labelled rows to fit on at most, with and without the last category, and features.
+POSITIVES, NEGATIVES, FEATURES = 3000, 9000, 3000
+LEAST_ROWS, FOLDS, ROUNDS, RIDGE = 5, 3, 120, 2e-3
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 300_000
@@ -49,25 +50,56 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+class Rows:
+    """A sparse matrix of the rows' scaled features, by row and by feature, with
+    dense columns behind it."""
+
+    def __init__(self, hits: Sequence[np.ndarray], scale: np.ndarray, dense: np.ndarray | None = None):
+        self.hits, self.scale = list(hits), scale
+        self.dense = np.empty((len(self.hits), 0)) if dense is None else dense
+        self.at = np.concatenate([np.empty(0, np.int32), *self.hits]).astype(np.int32)
+        of = np.repeat(np.arange(len(self.hits), dtype=np.int32), [len(h) for h in self.hits])
+        by_feature = np.argsort(self.at, kind="stable")
+        self.of = of[by_feature]
+        self.rows, self.starts = np.unique(of, return_index=True)
+        self.features, self.firsts = np.unique(self.at[by_feature], return_index=True)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        d = len(self.scale)
+        out = self.dense @ w[d:-1] + w[-1]
+        if len(self.at):
+            out[self.rows] += np.add.reduceat((w[:d] * self.scale)[self.at], self.starts)
+        return out
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.scale))
+        if len(self.at):
+            out[self.features] = np.add.reduceat(r[self.of], self.firsts) * self.scale[self.features]
+        return np.concatenate([out, self.dense.T @ r, [r.sum()]])
+
+    def part(self, rows: np.ndarray) -> Rows:
+        return Rows([self.hits[i] for i in rows], self.scale, self.dense[rows])
+
+    def wider(self, column: np.ndarray) -> Rows:
+        return Rows(self.hits, self.scale, np.column_stack([self.dense, column]))
+
+
+def fit_logistic(x: Rows, y: np.ndarray) -> np.ndarray:
     """Ridge-penalised logistic regression by accelerated gradient steps; the
     last weight is the bias. Needs no random numbers."""
-    n, d = x.shape
-    times = lambda v: x @ v[:-1] + v[-1]
-    back = lambda r: np.append(x.T @ r, r.sum()).astype(np.float32)
-    v = np.ones(d + 1, np.float32)
+    n, d = len(y), len(x.scale) + x.dense.shape[1]
+    v = np.ones(d + 1)
     for _ in range(12):  # the largest eigenvalue bounds the step
-        v = back(times(v))
+        v = x.back(x.times(v))
         top = float(np.linalg.norm(v)) or 1.0
         v /= top
-    step = np.float32(1 / (0.25 * top / n + RIDGE))
-    w = u = np.zeros(d + 1, np.float32)
-    ridge = np.full(d + 1, RIDGE, np.float32)
+    step = 1 / (0.25 * top / n + RIDGE)
+    w = u = np.zeros(d + 1)
+    ridge = np.full(d + 1, RIDGE)
     ridge[-1] = 0
     for k in range(ROUNDS):
-        g = back((sigmoid(times(u)) - y).astype(np.float32)) / np.float32(n) + ridge * u
-        new = u - step * g
-        u = new + np.float32(k / (k + 3)) * (new - w)
+        new = u - step * (x.back(sigmoid(x.times(u)) - y) / n + ridge * u)
+        u = new + k / (k + 3) * (new - w)
         w = new
     return w
 
@@ -96,98 +128,113 @@ class Chain:
         return out
 
 
-def select(rows: Sequence[Sequence[str]], y: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+def chosen_features(held: DataFrame, ys: Sequence[str], most: int) -> tuple[dict[str, int], np.ndarray]:
     """The features that tell most about any category, with their scale: the
-    smoothed log ratio of their shares. Ties go by the feature's name."""
-    ids: dict[str, int] = {}
-    memo: dict[str, np.ndarray] = {}
-    for row in rows:
-        for w in row:
-            if w not in memo:
-                memo[w] = np.array([ids.setdefault(f, len(ids)) for f in forms(w)], np.int64)
-    counts = [np.zeros((2, len(ids)), np.float32) for _ in range(y.shape[1])]
-    for row, labels in zip(rows, y, strict=True):
-        if len(row):
-            have = np.unique(np.concatenate([memo[w] for w in row]))
-            for c, label in zip(counts, labels, strict=True):
-                if not np.isnan(label):
-                    c[int(label), have] += 1
-    names = np.array(list(ids), object)
-    best, ratio = np.zeros(len(ids)), np.zeros(len(ids))
-    for k, c in enumerate(counts):
-        n = np.array([(y[:, k] == 0).sum(), (y[:, k] == 1).sum()], float) + 1
-        share = (c + 0.5) / n[:, None]
-        r = np.abs(np.log(share[1] / share[0]))
-        gain = r * np.abs(share[1] - share[0]) * (c.sum(0) >= LEAST_ROWS)
-        better = gain > best
-        best, ratio = np.where(better, gain, best), np.where(better, r, ratio)
-    top = [i for i in sorted(np.nonzero(best)[0], key=lambda i: (-best[i], names[i]))[:FEATURES]]
-    return {names[i]: k for k, i in enumerate(top)}, np.minimum(ratio[top], 6).astype(np.float32)
-
-
-def fit_chain(rows: Sequence[Sequence[str]], labels: pd.DataFrame, shares: Sequence[float]) -> Chain:
-    """Fit on rows of distinct words; ``labels`` has a column of 0, 1 or null
-    per category, ``shares`` their shares among all labelled rows. A category
-    of one value gets a model without weights that gives its share."""
-    y = labels.to_numpy(np.float64)
-    index, scale = select(rows, y)
-    d = len(scale)
-    x = np.zeros((len(rows), d + y.shape[1]), np.float32)
-    for i, row in enumerate(rows):
-        have = sorted({k for w in row for f in forms(w) if (k := index.get(f)) is not None})
-        x[i, have] = scale[have]
+    smoothed log ratio of their shares among rows with and without it. Ties go
+    by the feature's name. ``held`` has an array of features per row."""
+    side = {f"{y}_{v}": F.count_if(F.col(y) == v) for y in ys for v in (0, 1)}
+    totals = held.agg(*(c.alias(n) for n, c in side.items())).first()
+    counts = held.select(*ys, F.explode("held").alias("f")).groupBy("f").agg(F.count("*").alias("rows"), *(c.alias(n) for n, c in side.items()))
+    gains = []
+    for y in ys:
+        without, having = ((F.col(f"{y}_{v}") + 0.5) / (totals[f"{y}_{v}"] + 1) for v in (0, 1))
+        ratio = F.abs(F.log(having / without))
+        gains.append(F.struct((ratio * F.abs(having - without)).alias("gain"), ratio.alias("ratio")))
+    best = counts.where(F.col("rows") >= LEAST_ROWS).select("f", F.array_max(F.array(*gains)).alias("best")).where("best.gain > 0")
+    top = best.orderBy(F.desc("best.gain"), "f").limit(most).collect()
+    return {r.f: k for k, r in enumerate(top)}, np.minimum([r.best.ratio for r in top], 6)
+
+
+def fit_chain(hits: Sequence[np.ndarray], y: np.ndarray, categories: Sequence[str], index: dict[str, int], scale: np.ndarray, shares: Sequence[float]) -> Chain:
+    """Fit on rows of indices of features; ``y`` has a column of 0, 1 or nan per
+    category, ``shares`` their shares among all labelled rows. A category of
+    one value gets a model without weights that gives its share."""
+    x = Rows(hits, scale)
     weights, shift = [], []
     for k in range(y.shape[1]):
-        known = np.nonzero(~np.isnan(y[:, k]))[0]
+        d = len(scale) + k
+        known = np.flatnonzero(~np.isnan(y[:, k]))
         share, mine = min(max(shares[k], 1e-4), 1 - 1e-4), y[known, k].mean() if len(known) else 0.0
         if not 0 < mine < 1:
-            weights.append(np.zeros(d + k + 1, np.float32))
-            shift.append(float(np.log(share / (1 - share))))
-            continue
-        move = float(np.log(share / (1 - share)) - np.log(mine / (1 - mine)))
-        part = x[:, : d + k] if len(known) == len(x) else x[known, : d + k]  # a view where no label is missing
-        w = fit_logistic(part, y[known, k])
-        p = sigmoid(x[:, : d + k] @ w[:-1] + w[-1] + move)
-        for fold in range(FOLDS):
-            out = known[known % FOLDS == fold]
-            rest = known[known % FOLDS != fold]
+            w, move = np.zeros(d + 1), float(np.log(share / (1 - share)))
+        else:
+            w, move = fit_logistic(x.part(known), y[known, k]), float(np.log(share / (1 - share)) - np.log(mine / (1 - mine)))
+        p = sigmoid(x.times(w) + move)
+        for fold in range(FOLDS if 0 < mine < 1 and k + 1 < y.shape[1] else 0):  # nothing sees the last one's
+            out, rest = known[known % FOLDS == fold], known[known % FOLDS != fold]
             if len(rest) and 0 < y[rest, k].mean() < 1:
-                f = fit_logistic(x[rest, : d + k], y[rest, k])
-                p[out] = sigmoid(x[out, : d + k] @ f[:-1] + f[-1] + move)
-        x[:, d + k] = p
+                p[out] = sigmoid(x.part(out).times(fit_logistic(x.part(rest), y[rest, k])) + move)
+        x = x.wider(p)
         weights.append(w)
         shift.append(move)
-    return Chain(tuple(labels.columns), index, scale, tuple(weights), tuple(shift))
-
-
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit the chain on a sample of labelled documents, bounded on both sides of
-    the last category. Labels without a document, documents without labels and
-    null labels take no part; of repeated labels of an id the largest count."""
+    return Chain(tuple(categories), index, scale, tuple(weights), tuple(shift))
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    categories: dict[str, Column],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    positives: int = POSITIVES,
+    negatives: int = NEGATIVES,
+    features: int = FEATURES,
+) -> Chain:
+    """Fit the chain on a sample of labelled documents: at most ``positives``
+    rows with the last category and ``negatives`` without it.
+
+    Labels without a document, documents without labels and null labels take
+    no part; of repeated labels of an id the largest counts, of repeated rows
+    of an id the one with the smallest text (null first). Whole texts count,
+    however long; what reaches the driver is the chosen features and, per
+    sampled row, their indices. Empty
+    tables give a chain without weights."""
     small_batches(docs.sparkSession)
-    last = list(categories)[-1]
-    known = labels.select(F.col(f"`{id_col}`").alias("id"), *(c.cast("double").alias(n) for n, c in categories.items()))
-    known = known.where("id IS NOT NULL").groupBy("id").agg(*(F.max(n).alias(n) for n in categories))
-    shares = known.agg(*(F.avg(n).alias(n) for n in categories)).first()
-    pick = lambda value, n: known.where(F.col(last) == value).orderBy(F.xxhash64("id"), "id").limit(n)
-    sample = pick(1, TOXIC_ROWS).unionByName(pick(0, CLEAN_ROWS))
+    names = list(categories)
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), *(c.cast("double").alias(f"y{k}") for k, c in enumerate(categories.values())))
+    known = known.where("id IS NOT NULL").groupBy("id").agg(*(F.max(f"y{k}").alias(f"y{k}") for k in range(len(names))))
+    shares = known.agg(*(F.avg(f"y{k}") for k in range(len(names)))).first()
+    last = F.col(f"y{len(names) - 1}")
+    pick = lambda value, n: known.where(last == value).orderBy(F.xxhash64("id"), "id").limit(n)
+    sample = F.broadcast(pick(1, positives).unionByName(pick(0, negatives)))  # bounded by the two parameters
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(sample, "id")
 
     @F.arrow_udf("array<string>")
-    def distinct_words(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted(words_of(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+    def features_of(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted({f for w in words_of(t) for f in forms(w)}) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "id")
-    got = rows.withColumn("words", distinct_words("text")).drop("text").toPandas()
-    got = got.sort_values("id", kind="stable").drop_duplicates("id").reset_index(drop=True)
-    seen: dict[str, str] = {}  # one object per word, not per occurrence
-    got["words"] = [[seen.setdefault(w, w) for w in row] for row in got["words"]]
-    return fit_chain(got["words"].tolist(), got[list(categories)], [shares[n] or 0.0 for n in categories])
+    ys = [f"y{k}" for k in range(len(names))]
+    held = rows.groupBy("id", *ys).agg(F.min("text").alias("text")).withColumn("held", features_of("text")).drop("text")
+    held = stored(held, "toxicity-sample")
+    index, scale = chosen_features(held, ys, features)
+    chosen = docs.sparkSession.createDataFrame(list(index.items()), "f string, k int")
+    at = held.select("id", F.explode("held").alias("f")).join(F.broadcast(chosen), "f").groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("k"))
+    got = held.drop("held").join(at, "id", "left").orderBy("id").collect()  # one row of the sample each
+    hits = [np.array(r.k or [], np.int64) for r in got]
+    y = np.array([[np.nan if r[c] is None else r[c] for c in ys] for r in got], np.float64).reshape(len(got), len(ys))
+    return fit_chain(hits, y, names, index, scale, [s or 0.0 for s in shares])
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
     """``docs`` with a probability per category and the decision on the last
     one in a column of its name. Null, empty and wordless texts are scored as
-    texts without features."""
+    texts without features; whole texts count however long; repeated rows are
+    scored each. A column of ``docs`` with the name of an added one is left
+    out, all others stay whatever their names."""
+    names = [*(f"{prefix}{n}" for n in chain.categories), chain.categories[-1]]
+    rows = _scored(docs, chain, text_col)
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in names]
+    p = [F.col("p")[k].alias(n) for k, n in enumerate(names[:-1])]
+    return rows.select(*own, *p, (F.col("p")[len(p) - 1] >= THRESHOLD).alias(names[-1]))
+
+
+def reject(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they were, that the chain does not reject."""
+    return original(_scored(docs, chain, text_col).where(F.col("p")[len(chain.categories) - 1] < THRESHOLD), docs)
+
+
+def _scored(docs: DataFrame, chain: Chain, text_col: str) -> DataFrame:
+    """``docs`` with columns named by position, and the probabilities ``p``."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(chain)
@@ -212,10 +259,8 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "
             hits.append(np.array(sorted(found), np.int64))
         return pa.array(list(c.scores(hits)), pa.list_(pa.float64()))
 
-    p = docs.withColumn("__p", probabilities(F.col(f"`{text_col}`")))
-    cols = {f"{prefix}{n}": F.col("__p")[k] for k, n in enumerate(chain.categories)}
-    cols[chain.categories[-1]] = F.col("__p")[len(chain.categories) - 1] >= THRESHOLD
-    return p.withColumns(cols).drop("__p")
+    rows = positional(docs)
+    return rows.withColumn("p", probabilities(F.col(rows.columns[docs.columns.index(text_col)])))
 
 
 def production_chain(docs: DataFrame, labels: DataFrame) -> Chain:
