@@ -68,6 +68,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"),
         (F.col("mix_size") * F.size("mix_shards")).alias("taken"),
+        F.col("mix_shards").alias("shards"),
     )
 
 
