@@ -34,7 +34,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: The pre-tokenization pattern of this kind of vocabulary.
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+")
-CACHE_CHUNKS, CACHE_CHARS = 150_000, 48
+CACHE_CHUNKS, CACHE_CHARS, LONG_WORD = 300_000, 48, 200
 #: A batch is encoded in rounds of so many chunks; texts longer than a segment are cut.
 ROUND_CHUNKS, SEGMENT_CHARS = 120_000, 1 << 20
 
@@ -77,9 +77,8 @@ class SpeculativeBpe:
         self.pairs, self.out = pairs, np.array(out, np.int32)
         self.packed = [int(i).to_bytes(4, "little") for i in out]
         self.left, self.right = np.array(left, np.int64), np.array(right, np.int64)
-        codes = np.array([a << 32 | b for a, b in pairs], np.int64)
-        order = np.argsort(codes)
-        self.codes, self.joined = codes[order], np.array(list(pairs.values()), np.int64)[order]
+        self.never = len(self.bytes_of)
+        self._build_table(np.array([a << 32 | b for a, b in pairs], np.int64), np.array(list(pairs.values()), np.int64))
         ids = np.arange(256, len(left))
         sound = np.ones(len(left), bool)
         sound[256:] = self.stable(self.left[256:], self.right[256:], ids)
@@ -99,6 +98,36 @@ class SpeculativeBpe:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _build_table(self, codes: np.ndarray, joined: np.ndarray) -> None:
+        """Pairs in an open-addressing table of four places or more for each."""
+        self.bits = max(4, int(np.ceil(np.log2(4 * max(1, len(codes))))))
+        self.codes, self.joined = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.never, np.int64)
+        at, left = self._slot(codes), np.arange(len(codes))
+        while len(left):
+            _, first = np.unique(at[left], return_index=True)
+            mine = left[first][self.codes[at[left[first]]] < 0]
+            self.codes[at[mine]], self.joined[at[mine]] = codes[mine], joined[mine]
+            left = left[self.codes[at[left]] != codes[left]]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The token, by rank, that each pair merges into; ``never`` for no merge."""
+        codes = a << 32 | b
+        at = self._slot(codes)
+        have = self.codes[at]
+        out = np.where(have == codes, self.joined[at], self.never)
+        left = np.flatnonzero((have != codes) & (have >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            have = self.codes[at[left]]
+            same = have == codes[left]
+            out[left[same]] = self.joined[at[left[same]]]
+            left = left[~same & (have >= 0)]
+        return out
+
     def stable(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens: whether no merge across the border comes
         before the merges that built the two (or before ``limit``).
@@ -110,9 +139,8 @@ class SpeculativeBpe:
         limit = np.full(n, np.iinfo(np.int64).max) if limit is None else limit.astype(np.int64)
         good, at = np.ones(n, bool), np.arange(n)
         while len(at):
-            code = a << 32 | b
-            k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            bad = (self.codes[k] == code) & (self.joined[k] < limit)
+            made = self.join(a, b)
+            bad = (made < limit) & (made < self.never)
             good[at[bad]] = False
             # The last-built side is undone; a byte cannot be, then the other side is.
             a_first = a > b
@@ -135,21 +163,46 @@ class SpeculativeBpe:
         ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
         return hits[:, 1], np.searchsorted(ends, hits[:, 0], "right")
 
-    def merged(self, word: bytes) -> list[int]:
-        """Exact merging, lowest rank first and leftmost among equals."""
-        if len(word) > 200:
-            return self._merged_long(word)
-        tokens, get, never = list(word), self.pairs.get, len(self.bytes_of)
-        ranks = [get(p, never) for p in zip(tokens, tokens[1:])]
-        while ranks and (m := min(ranks)) != never:
-            i = ranks.index(m)
-            tokens[i : i + 2] = (m,)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get((tokens[i - 1], m), never)
-            if i < len(ranks):
-                ranks[i] = get((m, tokens[i + 1]), never)
-        return tokens
+    def merged(self, words: list[bytes]) -> list[list[int]]:
+        """Exact merging, lowest rank first and leftmost among equals: a pair of
+        every word in each round, all words at once. Very long words, which
+        would take as many rounds, are merged apart."""
+        out: list[list[int]] = [self._merged_long(w) if len(w) > LONG_WORD else [] for w in words]
+        short = np.array([k for k, w in enumerate(words) if 0 < len(w) <= LONG_WORD], np.int64)
+        if not len(short):
+            return out
+        token = np.frombuffer(b"".join([words[k] for k in short.tolist()]), np.uint8).astype(np.int64)
+        of = np.repeat(short, [len(words[k]) for k in short.tolist()])
+        rank = np.full(len(token), self.never, np.int64)
+        inner = np.flatnonzero(of[:-1] == of[1:])
+        rank[inner] = self.join(token[inner], token[inner + 1])
+        while len(token):
+            starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            sizes = np.diff(np.append(starts, len(of)))
+            low = np.minimum.reduceat(rank, starts)
+            done = low == self.never
+            if done.any():
+                over = np.repeat(done, sizes)
+                flat, ends = token[over].tolist(), np.cumsum(sizes[done]).tolist()
+                for k, i, j in zip(of[starts[done]].tolist(), [0, *ends], ends):
+                    out[k] = flat[i:j]
+                token, of, rank = token[~over], of[~over], rank[~over]
+                sizes, low = sizes[~done], low[~done]
+                if not len(token):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(low, sizes))
+            at = hits[np.concatenate([[True], of[hits[1:]] != of[hits[:-1]]])]
+            token[at] = low
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # one token less for each word before
+            token, of, rank = token[keep], of[keep], rank[keep]
+            for i in (at, at[at > 0] - 1):
+                inside = i[i + 1 < len(of)]
+                same = of[inside] == of[inside + 1]
+                rank[i] = self.never
+                rank[inside[same]] = self.join(token[inside[same]], token[inside[same] + 1])
+        return out
 
     def _merged_long(self, word: bytes) -> list[int]:
         """The same by a heap, for words whose every scan would cost too much."""
@@ -180,8 +233,9 @@ class SpeculativeBpe:
         fine[inner] = self.stable(code >> 32, code & 0xFFFFFFFF)[back]
         tokens, ends = flat.tolist(), np.searchsorted(word_at, np.arange(len(words) + 1)).tolist()
         found = [tokens[i:j] for i, j in zip(ends, ends[1:])]
-        for k in np.unique(word_at[:-1][~fine]).tolist():
-            found[k] = self.merged(words[k])
+        failing = np.unique(word_at[:-1][~fine]).tolist()
+        for k, tokens in zip(failing, self.merged([words[k] for k in failing]), strict=True):
+            found[k] = tokens
         return found
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
@@ -223,13 +277,14 @@ class SpeculativeBpe:
         young, old = self.young, self.old
         new = {c for c in set().union(*(p for _, p in parts if not isinstance(p, int))) if c not in young}
         known = {c: old[c] for c in new if c in old}
-        fresh = known | self._learn(new.difference(known))
+        fresh = self._learn(new.difference(known))
+        young.update(known)
+        young.update(fresh)
         for k, p in parts:
-            if isinstance(p, int):
-                out[k].append(np.array([p], np.int32).tobytes())
-            else:
-                out[k].append(b"".join([young[c] if c in young else fresh[c] for c in p]))
-        young.update((c, v) for c, v in fresh.items() if len(c) <= CACHE_CHARS)
+            out[k].append(np.array([p], np.int32).tobytes() if isinstance(p, int) else b"".join(map(young.__getitem__, p)))
+        for c in fresh:
+            if len(c) > CACHE_CHARS:
+                del young[c]
         if len(young) > CACHE_CHUNKS:
             self.old, self.young = young, {}
 
@@ -293,7 +348,8 @@ def decoder(path: str):
 
 def encode(df: DataFrame, path: str, text: str | Column = "text", out: str = "ids") -> DataFrame:
     """``df`` with the ids of a text column. Null and empty texts give an empty
-    array; other columns stay as they are, and a column named ``out`` is replaced."""
+    array; other columns stay as they are, and a column named ``out`` is replaced.
+    Repeated rows are encoded each; whole texts count however long."""
     small_batches(df.sparkSession)
     col = F.col(f"`{text}`") if isinstance(text, str) else text
     return df.withColumn(out, encoder(path)(col))
