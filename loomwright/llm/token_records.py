@@ -37,7 +37,7 @@ from loomwright.llm.common import scratch_root, small_batches, stored
 
 FILE_BYTES = 64 << 20
 NO_ID = -(1 << 63)
-CACHE_PIECES, CACHE_WORDS, CACHE_CHARS = 300_000, 400_000, 48
+CACHE_PIECES, CACHE_WORDS, CACHE_CHARS = 600_000, 500_000, 48
 INDEX = "file string, part int, place long, doc_id long, offset long, length long, tokens long"
 PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([,.;:!?]?)\Z")
 SPACES = re.compile(r"[ \t-\r]+")
