@@ -62,7 +62,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and the decoded texts, one row
     per row of ``docs``; null and empty texts have no tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe_digest(bpe.decode(bpe.encode(docs.select("doc_id", F.col("text")), path).select("doc_id", "ids"), path))
+    return bpe_digest(bpe.round_trip(docs.select("doc_id", "text"), path))
 
 
 STAGES = [

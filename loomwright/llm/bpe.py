@@ -319,15 +319,18 @@ def tokenizer(path: str) -> SpeculativeBpe:
     return SpeculativeBpe(path)
 
 
+def _ids_array(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+
+
 def encoder(path: str):
     """An Arrow UDF: string to array<int>; null gives no ids."""
 
     @F.arrow_udf("array<int>")
     def encode_ids(texts: pa.Array) -> pa.Array:
-        ids = tokenizer(path).encode_batch(texts.to_pylist())
-        ends = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum([len(x) for x in ids], out=ends[1:])
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+        return _ids_array(tokenizer(path).encode_batch(texts.to_pylist()))
 
     return encode_ids
 
@@ -346,6 +349,19 @@ def decoder(path: str):
     return decode_ids
 
 
+def round_tripper(path: str):
+    """An Arrow UDF: string to its ids and what they decode to. A decoder over
+    an encoder's column would have the optimizer encode every text twice."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def encode_and_decode(texts: pa.Array) -> pa.Array:
+        bpe = tokenizer(path)
+        ids = bpe.encode_batch(texts.to_pylist())
+        return pa.StructArray.from_arrays([_ids_array(ids), pa.array(map(bpe.decode, ids), pa.string())], ["ids", "decoded"])
+
+    return encode_and_decode
+
+
 def encode(df: DataFrame, path: str, text: str | Column = "text", out: str = "ids") -> DataFrame:
     """``df`` with the ids of a text column. Null and empty texts give an empty
     array; other columns stay as they are, and a column named ``out`` is replaced.
@@ -359,3 +375,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     """``df`` with the text of an ids column; the inverse of :func:`encode`."""
     small_batches(df.sparkSession)
     return df.withColumn(out, decoder(path)(F.col(f"`{ids}`")))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the ids of a text column and with what they decode to: what
+    :func:`decode` makes of :func:`encode`, in one pass. Odd rows as there."""
+    small_batches(df.sparkSession)
+    both = round_tripper(path)(F.col(f"`{text}`"))
+    return df.withColumns({ids: both["ids"], decoded: both["decoded"]})

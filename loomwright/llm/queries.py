@@ -45,8 +45,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_bpe_encode_decode")
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_digest(bpe.decode(bpe.encode(docs, path).select("doc_id", "ids"), path))
+    return bpe_digest(bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), path))
 
 
 def bpe_digest(coded: DataFrame) -> DataFrame:

@@ -126,6 +126,10 @@ def test_bpe_frames(spark):
     rows = bpe.decode(bpe.encode(make(spark, ODD), BYTE_BPE), BYTE_BPE).collect()
     assert [r.decoded for r in sorted(rows, key=lambda r: r.doc_id)] == [t or "" for t in ODD]
     assert bpe.encode(make(spark, []), BYTE_BPE).count() == 0
+    both = bpe.round_trip(make(spark, ODD), BYTE_BPE)
+    assert both.columns == [*make(spark, []).columns, "ids", "decoded"]
+    assert sorted((r.doc_id, r.ids, r.decoded) for r in both.collect()) == sorted((r.doc_id, r.ids, r.decoded) for r in rows)
+    assert both.select("doc_id", F.size("ids"), F.length("decoded"))._jdf.queryExecution().executedPlan().toString().count("encode_and_decode") == 1
 
 
 def test_token_records_round_trip(spark):
