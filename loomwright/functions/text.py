@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 # Code points without a glyph (single ones, then inclusive ranges).
 INVISIBLE_POINTS = (0x00AD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0xFEFF)
 INVISIBLE_RANGES = ((0x202A, 0x202E), (0x2066, 0x2069), (0xE0000, 0xE007F), (0xFE00, 0xFE0F))
-# Look-alikes, script by script, and the Latin letters they stand for.
+# Look-alikes, each with the Latin letter it stands for: Cyrillic, Greek, others.
 LOOKALIKES = (
-    ("авсеніјкморѕтухАВСЕНІЈКМОРЅТУХ", "abcehijkmopstyx" * 2),
-    ("αβεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abeikvoptuxabezhikmnoptyx"),
-    ("օաᎪᏟᎬᎻᎫ", "owacehj"),
-)
+    "аa вb сc еe нh іi јj кk мm оo рp ѕs тt уy хx Аa Вb Сc Еe Нh Іi Јj Кk Мm Оo Рp Ѕs Тt Уy Хx "
+    "αa βb εe ιi κk νv οo ρp τt υu χx Αa Βb Εe Ζz Ηh Ιi Κk Μm Νn Οo Ρp Τt Υy Χx "
+    "օo աw Ꭺa Ꮯc Ꭼe Ꮋh Ꭻj"
+).split()
 # What the leakage hash drops besides.
 LEAKAGE_POINTS, LEAKAGE_RANGE = (0x034F,), (0xE0100, 0xE01EF)
 REPEATS = 3
@@ -41,7 +41,7 @@ def _points() -> list[int]:
 
 
 def _lookalike_pairs() -> tuple[str, str]:
-    return "".join(a for a, _ in LOOKALIKES), "".join(b for _, b in LOOKALIKES)
+    return "".join(p[0] for p in LOOKALIKES), "".join(p[1] for p in LOOKALIKES)
 
 
 def arrow_map(f: Callable[[str], object], kind: str, arrow: pa.DataType) -> Callable[[Column], Column]:
@@ -96,7 +96,8 @@ def strip_combining(text: Column) -> Column:
 
 
 def collapse_repeats(text: Column, limit: int = REPEATS) -> Column:
-    """Runs of one character longer than ``limit`` are cut to it."""
+    """Runs of one character longer than ``limit`` (1 at least) are cut to it."""
+    limit = max(limit, 1)
     return F.regexp_replace(text, f"(?s)(.)\\1{{{limit},}}", "$1" * limit)
 
 
@@ -108,16 +109,17 @@ def _strict_table() -> dict[int, str | None]:
 
 
 def py_strict(text: str, limit: int = REPEATS) -> str:
-    """NFKC, invisible points out, look-alikes folded, marks out, case folded,
-    repeats cut, white space squeezed: in this order."""
-    out = unicodedata.normalize("NFKC", text).translate(_strict_table())
-    out = py_strip_combining(out).casefold()
+    """NFKC, invisible points out, look-alikes folded, marks out, repeats cut,
+    case folded, white space squeezed: in this order, so that a run of one
+    letter in both cases is no repeat."""
+    limit = max(limit, 1)
+    out = py_strip_combining(unicodedata.normalize("NFKC", text).translate(_strict_table()))
     out = re.sub(rf"(?s)(.)\1{{{limit},}}", lambda m: m[1] * limit, out)
-    return " ".join(out.split())
+    return " ".join(out.casefold().split())
 
 
 def strict_normalize(text: Column) -> Column:
-    native = F.trim(F.regexp_replace(collapse_repeats(F.lower(text)), PY_SPACE, " "))
+    native = F.trim(F.regexp_replace(F.lower(collapse_repeats(text)), PY_SPACE, " "))
     return gated(native, arrow_map(py_strict, "string", pa.string()), text, text.rlike(r"^[\x00-\x7F]*$"))
 
 
@@ -166,17 +168,17 @@ def hamming(a: Column, b: Column) -> Column:
 
 # Patterns of sensitive text by reason; i: letters of either case.
 SENSITIVE = {
-    "credential_value": r"(?i)\b(?:password|passcode|api[ _-]?key|access[ _-]?token|secret)\s*(?:is|to|=|:)\s*[^\s,;]{4,}",
     "email_address": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
-    "government_or_vehicle_id": r"(?i)\b(?:social security|ssn|passport|document|driver'?s? license|license plate|vin)\b(?:\s+(?:number|no\.?))?\s*(?:is|of|:)?\s*[A-Z0-9-]{5,}\b",
-    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
-    "payment_credential": r"(?i)\b(?:(?:(?:gift|credit|debit)\s+)?card(?:\s+with)?\s+(?:the\s+)?number|credit\s+number)\b\s*(?:is|of|:)?\s*[A-Z0-9][A-Z0-9 -]{5,}\b|\b(?:cvv|pin)\s*(?:is|:)?\s*\d{3,8}\b",
-    "phone_number": r"(?i)\bphone(?:\s+number)?\s*(?:is|of|:)?\s*\+?\d[\d .()-]{6,}\d\b",
     "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
     "provider_token": r"\b(?:sk-[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.)",
-    "ssn_format": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
-    "street_address": r"(?i)\b(?:street|billing|home|shipping)?\s*address\s*(?:(?:is|:|of)\s*)?(?:\d{1,6}\b|p\.?o\.?\s+box\b)",
+    "credential_value": r"(?i)\b(?:password|passcode|api[ _-]?key|access[ _-]?token|secret)\s*(?:is|to|=|:)\s*[^\s,;]{4,}",
+    "payment_credential": r"(?i)\b(?:(?:(?:gift|credit|debit)\s+)?card(?:\s+with)?\s+(?:the\s+)?number|credit\s+number)\b\s*(?:is|of|:)?\s*[A-Z0-9][A-Z0-9 -]{5,}\b|\b(?:cvv|pin)\s*(?:is|:)?\s*\d{3,8}\b",
+    "government_or_vehicle_id": r"(?i)\b(?:social security|ssn|passport|document|driver'?s? license|license plate|vin)\b(?:\s+(?:number|no\.?))?\s*(?:is|of|:)?\s*[A-Z0-9-]{5,}\b",
+    "phone_number": r"(?i)\bphone(?:\s+number)?\s*(?:is|of|:)?\s*\+?\d[\d .()-]{6,}\d\b",
     "transaction_identifier": r"(?i)\b(?:booking|confirmation|order|ticket|rewards?|loyalty|membership)(?:\s+(?:number|no\.?|id))?\s*(?:is|of|for|:)?\s*(?=[A-Z0-9-]{6,}\b)(?=[A-Z0-9-]*\d)[A-Z0-9-]{6,}\b|\brecord locator\s*(?:is|of|:)?\s*[A-Z0-9-]{5,}\b",
+    "street_address": r"(?i)\b(?:street|billing|home|shipping)?\s*address\s*(?:(?:is|:|of)\s*)?(?:\d{1,6}\b|p\.?o\.?\s+box\b)",
+    "ssn_format": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
+    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
 }
 # The keyword detector.
 KEYWORDS = (
@@ -188,16 +190,26 @@ KEYWORDS = (
 )
 
 
+def nfkc(text: Column) -> Column:
+    return gated(text, arrow_map(lambda t: unicodedata.normalize("NFKC", t), "string", pa.string()), text, text.rlike(LATIN))
+
+
+def sensitive_pattern(name: str) -> str:
+    """A pattern whose classes, borders and cases are those of all scripts."""
+    return "(?U)" + SENSITIVE[name]
+
+
 def sensitive_reasons(text: Column) -> Column:
-    """Sorted reasons for which a text is sensitive; none for null."""
-    hits = [F.when(text.rlike(p), F.lit(n)) for n, p in sorted(SENSITIVE.items())]
+    """Sorted reasons for which a text, after NFKC, is sensitive; none for null."""
+    plain = nfkc(text)
+    hits = [F.when(plain.rlike(sensitive_pattern(n)), F.lit(n)) for n in sorted(SENSITIVE)]
     return F.array_compact(F.array(*hits))
 
 
 def redacted(text: Column) -> Column:
     """Every sensitive span replaced by its reason, reasons in sorted order."""
-    for name, pattern in sorted(SENSITIVE.items()):
-        text = F.regexp_replace(text, pattern, f"[{name}]")
+    for name in sorted(SENSITIVE):
+        text = F.regexp_replace(text, sensitive_pattern(name), f"[{name}]")
     return text
 
 

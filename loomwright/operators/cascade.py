@@ -115,7 +115,7 @@ def authorize(tool: Column, arguments: Column, provenance: Column, sensitive: Co
     trust = provenance_trust(provenance)
     names = F.array_union(F.map_keys(c["constrained"]), c["free"])
     same = lambda a, b: (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
-    first = lambda keys, fails: F.array_min(F.filter(keys, fails))
+    first = lambda keys, fails: F.try_element_at(F.filter(keys, fails), F.lit(1))  # in the policy's order
     wrong = first(F.map_keys(c["constrained"]), lambda k: ~F.coalesce(F.array_contains(c["constrained"][k], arguments[k]), F.lit(False)))
     sources = F.coalesce(argument_sources, F.create_map().cast("map<string,array<string>>"))
     stray = first(F.map_keys(c["allowed_sources"]), lambda k: F.size(F.array_except(sources[k], c["allowed_sources"][k])) > 0)

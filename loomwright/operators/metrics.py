@@ -2,8 +2,8 @@
 
 Every function takes a DataFrame with ``label`` (0/1) and ``score`` and an
 optional list of grouping columns. Curves group equal scores first, so each
-distinct score is one row, and cumulate with windows per group; a panel
-without groups is ranked after that aggregation.
+distinct score is one row; sums over them run within ranges of scores, to which
+the totals of the ranges above are added, so no panel is one task's to rank.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from loomwright.functions.numeric import Z95, ratio, wilson
+from loomwright.functions.numeric import Z95, next_after, ratio, wilson
 
 
 def count_if(c: Column) -> Column:
@@ -55,13 +55,35 @@ def binary_metrics(df: DataFrame, by: Sequence[str] = (), threshold: float = 0.5
     )
 
 
+#: Ranges of scores in a unit, and the scores beyond which one range holds all.
+RANGES, FARTHEST = 1024, 64.0
+
+
+def score_range(score: Column) -> Column:
+    """The range of a score; ranges ascend with scores, NaN above all."""
+    near = F.floor(F.least(F.greatest(score, F.lit(-FARTHEST)), F.lit(FARTHEST)) * RANGES)
+    return F.when(F.isnan(score), F.lit(int(FARTHEST) * RANGES + 1)).otherwise(near).cast("int")
+
+
+def running(df: DataFrame, by: Sequence[str], column: str, sums: dict[str, str], descending: bool = True) -> DataFrame:
+    """``df`` with running sums, named by ``sums``' keys, of its values' columns
+    along ``column``: within ranges, plus the totals of all ranges before."""
+    turn = F.desc if descending else F.asc
+    rows = df.withColumn("__range", score_range(F.col(column).cast("double")))
+    totals = rows.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    before = W.Window.partitionBy(*by).orderBy(turn("__range")).rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = totals.select(*by, "__range", *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums))
+    inner = W.Window.partitionBy(*by, "__range").orderBy(turn(column)).rowsBetween(W.Window.unboundedPreceding, 0)
+    joined = rows.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()}).join(starts, [*by, "__range"])
+    return joined.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__range", *(f"__{n}" for n in sums))
+
+
 def curve(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score, with what ``score >= threshold`` flags:
     threshold, tp, fp, positives, negatives, recall, fpr, precision."""
     ties = df.groupBy(*by, "score").agg(count_if(F.col("label") == 1).alias("p"), count_if(F.col("label") == 0).alias("q"))
-    down = W.Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.Window.unboundedPreceding, 0)
     totals = df.groupBy(*by).agg(count_if(F.col("label") == 1).alias("positives"), count_if(F.col("label") == 0).alias("negatives"))
-    out = ties.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("q").over(down)})
+    out = running(ties, by, "score", {"tp": "p", "fp": "q"})
     out = out.join(F.broadcast(totals), list(by)) if by else out.crossJoin(F.broadcast(totals))
     return out.select(
         *by,
@@ -89,13 +111,13 @@ def ranking(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def threshold_at_fpr(df: DataFrame, budget: float, by: Sequence[str] = ()) -> DataFrame:
-    """The lowest threshold among all scores whose FPR keeps the budget; beyond
-    the largest score (``above`` true) if none does."""
+    """The lowest threshold among all scores whose FPR keeps the budget; the
+    next number beyond the largest score (``above`` true) if none does."""
     c = curve(df, by)
     fine = F.col("fp") <= budget * F.col("negatives")
-    return c.groupBy(*by).agg(
-        F.coalesce(F.min(F.when(fine, F.col("threshold"))), F.max("threshold")).alias("threshold"), (~F.max(fine)).alias("above")
-    )
+    best = c.groupBy(*by).agg(F.min(F.when(fine, F.col("threshold"))).alias("kept"), F.max("threshold").alias("top"))
+    beyond = next_after(F.when(F.col("kept").isNull(), F.col("top")))  # nulls elsewhere
+    return best.select(*by, F.coalesce("kept", beyond).alias("threshold"), F.col("kept").isNull().alias("above"))
 
 
 def threshold_for_precision(df: DataFrame, floor: float, by: Sequence[str] = ()) -> DataFrame:
@@ -200,9 +222,12 @@ def quantile_summary(df: DataFrame, column: str, by: Sequence[str] = (), points:
 
 def nearest_rank(df: DataFrame, column: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """The value at rank round((n - 1) q), halves to even, without interpolation."""
-    w = W.Window.partitionBy(*by)
-    ranked = df.where(F.col(column).isNotNull()).withColumns({"r": F.row_number().over(w.orderBy(column)) - 1, "m": F.count("*").over(w)})
-    return ranked.where(F.col("r") == F.bround((F.col("m") - 1) * q)).select(*by, F.col(column).alias("value"))
+    ties = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__n"))
+    all_of = ties.groupBy(*by).agg(F.sum("__n").alias("__m"))
+    ranked = running(ties, by, column, {"__upto": "__n"}, descending=False)
+    ranked = ranked.join(F.broadcast(all_of), list(by)) if by else ranked.crossJoin(F.broadcast(all_of))  # one row without groups
+    at = F.bround((F.col("__m") - 1) * q)
+    return ranked.where((at < F.col("__upto")) & (at >= F.col("__upto") - F.col("__n"))).select(*by, F.col(column).alias("value"))
 
 
 def prevalence_projection(rates: DataFrame, shares: Sequence[float]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,29 +15,57 @@ from loomwright.functions.numeric import dot
 RRF_K, RRF_MOST, K1, B = 60, 50, 1.2, 0.75
 
 
+#: Rows of the bank and queries that one task multiplies.
+BANK_ROWS, QUERY_ROWS = 1 << 15, 1 << 10
+
+
 def dense_top_k(queries: DataFrame, bank: DataFrame, k: int, parts: Sequence[str] = ()) -> DataFrame:
     """(query_id, id, score, rank): largest inner products, within equal
-    ``parts``; ties by id. A stated query set (broadcast only if Spark finds it
-    small) against all rows; ranks are cut per partition before the shuffle."""
-    q = queries.select("query_id", F.col("vector").alias("qv"), *parts)
-    b = bank.select("id", "vector", *parts)
-    pairs = b.join(q, list(parts)) if parts else b.crossJoin(q)
-    scored = pairs.where(F.col("id") != F.col("query_id")).select("query_id", "id", dot(F.col("qv"), F.col("vector")).alias("score"))
+    ``parts``; ties by id. A stated query set against all rows, as products of
+    blocks: a task multiplies one block of the bank with one of the queries
+    and keeps each query's k best, so no pair leaves it that is not among them."""
+    n_bank, n_queries = (df.agg(F.count("*")).first()[0] for df in (bank, queries))
+    blocks, chunks = max(1, -(-n_bank // BANK_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
+    deal = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    q = queries.select("query_id", "vector", *parts, deal("query_id", chunks, "chunk"), every(blocks, "block"))
+    b = bank.select("id", "vector", *parts, deal("id", blocks, "block"), every(chunks, "chunk"))
+
+    def multiply(base: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(base) and len(ask):
+            base = base.sort_values("id", kind="stable")
+            ids, scores = base.id.to_numpy(), np.stack(ask.vector.to_numpy()).astype(np.float64) @ np.stack(base.vector.to_numpy()).astype(np.float64).T
+            for own, row in zip(ask.query_id.tolist(), scores, strict=True):
+                row = np.where(ids == own, -np.inf, row)
+                near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                near = near[ids[near] != own]
+                out += [(own, ids[i], row[i]) for i in near[np.lexsort((ids[near], -row[near]))][:k]]
+        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(bank.dtypes)['id']}, score double"
+    key = ["block", "chunk", *parts]
+    best = b.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(multiply, kinds)
     w = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, tokens: Column, *keep: str) -> DataFrame:
-    """term, id, tf and document length; texts without terms have no postings."""
+def postings(docs: DataFrame, tokens: Column, *keep: str, terms: DataFrame | None = None) -> DataFrame:
+    """term, id, tf and document length; texts without terms have no postings.
+    With ``terms`` (a column term) only those are posted: all others go before
+    anything is grouped."""
     t = docs.select("id", *keep, tokens.alias("t")).withColumn("dl", F.size("t"))
-    return t.select("id", *keep, "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl", *keep).agg(F.count("*").alias("tf"))
+    flat = t.select("id", *keep, "dl", F.explode("t").alias("term"))
+    if terms is not None:
+        flat = flat.join(terms.select("term").distinct(), "term", "left_semi")
+    return flat.groupBy("term", "id", "dl", *keep).agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, posts: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) from query terms (query_id, term), postings
     and one row of totals (n, avgdl). Only the queries' terms are weighed."""
     terms = queries.select("query_id", "term").distinct()
-    df = posts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weights = terms.join(df, "term").crossJoin(F.broadcast(totals)).select("query_id", "term", idf.alias("idf"), "avgdl")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

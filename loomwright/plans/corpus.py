@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from loomwright.functions import text as X
 from loomwright.operators import corpus as C
 from loomwright.operators import sampling as S
-from loomwright.plans.base import CANONICAL_SQL, canonical_rows, hash_unit, hash_unit_sql, raw_rows
+from loomwright.plans.base import CANONICAL_SQL, STRICT_SQL, canonical_rows, hash_unit, hash_unit_sql, raw_rows
 from loomwright.plans.registry import load, query
 
 CASE_SPLIT = "CASE WHEN (('0x' || substr(sha256(group_id),1,4))::BIGINT % 5) = 0 THEN 'validation' ELSE 'train' END"
@@ -112,7 +112,7 @@ def membership_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "largest_group",
     f"""WITH {CANONICAL_SQL}, g AS (SELECT group_id, count(*) AS n FROM canon GROUP BY group_id)
-    SELECT n AS rows, sha256(group_id) AS name_sha256, round(n / sum(n) OVER (), 9) AS share FROM g ORDER BY n DESC, sha256(group_id) DESC LIMIT 1""",
+    SELECT n AS rows, sha256(group_id) AS name_sha256, round(n / sum(n) OVER (), 9) AS share FROM g ORDER BY n DESC, group_id LIMIT 1""",
 )
 def largest_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.largest_group(canonical_rows(spark, sf_dir)).withColumn("share", F.round("share", 9))
@@ -152,12 +152,12 @@ def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = C.unit_interval_bytes(F.col("group_id"), 4) % 5
     split = F.when(part == 0, "validation").when(part == 1, "dev_test").otherwise("train")
     rows = canonical_rows(spark, sf_dir)
-    return rows.select("id", "text", "group_id", split.alias("split"), F.col("normalized_text_sha256").alias("strict_hash"))
+    return rows.select("id", "text", "group_id", split.alias("split"), X.leakage_hash(F.col("text")).alias("strict_hash"))
 
 
 @query(
     "leakage_strict_views",
-    f"""WITH {CANONICAL_SQL}, s AS (SELECT id, h, {SPLIT3} AS split FROM canon),
+    f"""WITH {CANONICAL_SQL}, {STRICT_SQL}, s AS (SELECT id, sh AS h, {SPLIT3} AS split FROM canon JOIN strict USING (doc_id)),
     t AS (SELECT *, CASE WHEN split <> 'dev_test' AND h IN (SELECT h FROM s WHERE split = 'dev_test') THEN 'strict_dev_test_overlap' END AS r1 FROM s)
     SELECT id, split, coalesce(r1, CASE WHEN split = 'validation' AND h IN (SELECT h FROM t WHERE split = 'train' AND r1 IS NULL) THEN 'strict_train_overlap' END) AS reason FROM t""",
 )
@@ -231,14 +231,14 @@ def stratum_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "owner_election",
-    f"""WITH {CANONICAL_SQL}, x AS (SELECT id, doc_id, h, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS y FROM canon),
+    f"""WITH {CANONICAL_SQL}, {STRICT_SQL}, x AS (SELECT id, doc_id, sh AS h, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS y FROM canon JOIN strict USING (doc_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS p, first_value(y) OVER (PARTITION BY h ORDER BY doc_id) AS f FROM x),
     g AS (SELECT h, count(*) AS n, min(CASE WHEN y <> f THEN p END) AS p, min_by(id, p) AS first_id FROM r GROUP BY h)
     SELECT h AS strict_hash, CASE WHEN p IS NULL THEN first_id END AS owner_id, CASE WHEN p IS NULL THEN n - 1 ELSE p - 2 END AS strict_duplicate,
            CASE WHEN p IS NULL THEN 0 ELSE n - p + 2 END AS strict_label_conflict FROM g""",
 )
 def owner_election(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = canonical_rows(spark, sf_dir).select("id", "doc_id", F.col("normalized_text_sha256").alias("strict_hash"), (F.col("doc_id") % 3 == 0).cast("int").alias("y"))
+    rows = canonical_rows(spark, sf_dir).select("id", "doc_id", X.leakage_hash(F.col("text")).alias("strict_hash"), (F.col("doc_id") % 3 == 0).cast("int").alias("y"))
     return C.elect_owners(rows, "strict_hash", "y", ["doc_id"])
 
 
@@ -340,9 +340,9 @@ def components_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "split_disjointness",
-    f"""WITH {CANONICAL_SQL}, s AS (SELECT *, {SPLIT3} AS split FROM canon)
+    f"""WITH {CANONICAL_SQL}, {STRICT_SQL}, s AS (SELECT *, {SPLIT3} AS split FROM canon JOIN strict USING (doc_id))
     SELECT 'group' AS key, count(*) AS shared FROM (SELECT group_id FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)
-    UNION ALL SELECT 'hash', count(*) FROM (SELECT h FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)""",
+    UNION ALL SELECT 'hash', count(*) FROM (SELECT sh FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)""",
 )
 def split_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that more than one split holds (none may stay after the leakage pass)."""
@@ -448,13 +448,14 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "panel_digest",
-    "SELECT lang, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS digest FROM documents WHERE doc_id % 5 = 0 GROUP BY lang",
+    """WITH d AS (SELECT lang, sha256(text) AS d FROM documents),
+    b AS (SELECT lang, substr(d, 1, 4) AS bucket, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM d GROUP BY ALL)
+    SELECT lang, sha256(string_agg(bucket || digest, '' ORDER BY bucket)) AS digest FROM b GROUP BY lang""",
 )
 def panel_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-free digest of a panel: over its sorted row digests."""
+    """Order-free digest of the whole panel, by language."""
     (docs,) = load(spark, sf_dir, "documents")
-    panel = docs.where("doc_id % 5 = 0").groupBy("lang").agg(F.array_sort(F.collect_list(F.sha2("text", 256))).alias("d"))
-    return panel.select("lang", F.sha2(F.array_join("d", ""), 256).alias("digest"))
+    return C.panel_digest(docs, "lang", "text")
 
 
 @query(

@@ -82,7 +82,7 @@ def auroc_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "threshold_at_fpr",
     f"""WITH {SCORED_SQL}, {CURVE_SQL}, b AS (SELECT unnest([0.001,0.01,0.05,0.2]) AS budget)
-    SELECT budget, coalesce(min(CASE WHEN fp <= budget*negatives THEN threshold END), max(threshold)) AS threshold, NOT bool_or(fp <= budget*negatives) AS above FROM k, b GROUP BY budget""",
+    SELECT budget, coalesce(min(CASE WHEN fp <= budget*negatives THEN threshold END), nextafter(max(threshold), 'Infinity'::DOUBLE)) AS threshold, NOT bool_or(fp <= budget*negatives) AS above FROM k, b GROUP BY budget""",
 )
 def threshold_at_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scored(spark, sf_dir)

@@ -66,7 +66,7 @@ def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     totals = d.agg(F.count("*").alias("n"), F.avg(F.size(words(F.col("text")))).alias("avgdl"))
     terms = F.slice(F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 3)), 1, 8)
     q = bench.select(F.col("item_id").alias("query_id"), F.explode(terms).alias("term"))
-    return R.bm25(q, R.postings(d, words(F.col("text"))), totals, k)
+    return R.bm25(q, R.postings(d, words(F.col("text")), terms=q), totals, k)
 
 
 @query("bm25_top_k", f"WITH {BM25_SQL} SELECT query_id, id, round(score,6) AS score, rank FROM r WHERE rank <= 10")
@@ -142,7 +142,7 @@ def three_zone_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _documents_with_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scored(spark, sf_dir)
-    n = F.least(F.floor(F.length("text") / 700), F.lit(12)).cast("int")
+    n = F.floor(F.length("text") / 700).cast("int")
     unit = lambda tag: F.transform(F.sequence(F.lit(0), n), lambda i: F.round(hash_unit(F.concat_ws("-", F.lit(tag), "doc_id", i)), 4))
     p = lambda x: F.when(x >= 0.03, x)
     return df.withColumns(
@@ -159,8 +159,8 @@ def cascade_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "document_routes",
-    f"""WITH {SCORED_SQL}, w AS (SELECT doc_id, channel, list_transform(range(0, least(length(text)//700, 12)+1), lambda i: round(('0x' || substr(sha256('w-' || doc_id || '-' || i),1,8))::BIGINT/4294967296.0,4)) AS s FROM scored)
-    SELECT channel, CASE WHEN len(list_filter(s, lambda x: x>=0.9999))>0 THEN 'restrict'
+    f"""WITH {SCORED_SQL}, w AS (SELECT doc_id, channel, list_transform(range(0, length(text)//700+1), lambda i: round(('0x' || substr(sha256('w-' || doc_id || '-' || i),1,8))::BIGINT/4294967296.0,4)) AS s FROM scored)
+    SELECT channel, CASE WHEN len(s) > 128 OR len(list_filter(s, lambda x: x>=0.9999))>0 THEN 'restrict'
       WHEN len(list_filter(s, lambda x: x>=CASE WHEN channel='direct_user' THEN 0.2 ELSE 0.025 END))=0 AND NOT (channel='untrusted_content' AND len(s)>1) THEN 'pass' ELSE 'review' END AS route, count(*) AS n FROM w GROUP BY ALL""",
 )
 def document_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def document_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "required_window_keys",
-    f"""WITH {SCORED_SQL}, w AS (SELECT doc_id, unnest(range(0, least(length(text)//700, 12)+1)) AS i FROM scored),
+    f"""WITH {SCORED_SQL}, w AS (SELECT doc_id, unnest(range(0, length(text)//700+1)) AS i FROM scored),
     s AS (SELECT doc_id, i, round(('0x' || substr(sha256('w-' || doc_id || '-' || i),1,8))::BIGINT/4294967296.0,4) AS s FROM w), p AS (SELECT unnest([0.1,0.5,0.9]) AS lo)
     SELECT DISTINCT doc_id, i AS window_index FROM s, p WHERE s >= lo""",
 )
@@ -263,10 +263,14 @@ def journal_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.contiguity(ev, ["user_id"], "event_id")
 
 
-@query("missing_ranges", "WITH g AS (SELECT event_id AS a, lead(event_id) OVER (ORDER BY event_id) AS b FROM events WHERE user_id < 20) SELECT a + 1 AS first_missing, b - 1 AS last_missing FROM g WHERE b > a + 1")
+@query(
+    "missing_ranges",
+    """WITH g AS (SELECT user_id, event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
+    SELECT user_id, a + 1 AS first_missing, b - 1 AS last_missing FROM g WHERE b > a + 1""",
+)
 def missing_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     (ev,) = load(spark, sf_dir, "events")
-    return L.missing_ranges(ev.where("user_id < 20"), [], "event_id")
+    return L.missing_ranges(ev, ["user_id"], "event_id")
 
 
 @query("chunk_assembly", "SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn, role, text)) AS digest, count(*) AS chunks FROM conversations GROUP BY conv_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import numeric as N
 from loomwright.functions import text as X
-from loomwright.plans.base import NORM_SQL, hash_unit, hash_unit_sql
+from loomwright.plans.base import NORM_SQL, STRICT_SQL, hash_unit, hash_unit_sql
 from loomwright.plans.registry import load, query
 
 
@@ -32,12 +32,16 @@ def strip_combining_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.sha2(X.strip_combining(F.col("text")), 256).alias("h"))
 
 
-@query("collapse_repeats")
+@query(
+    "collapse_repeats",
+    """WITH c AS (SELECT doc_id, string_split(text, '') AS l FROM documents)
+    SELECT doc_id, len(list_filter(l, lambda x, i: i <= 3 OR x <> l[i-1] OR x <> l[i-2] OR x <> l[i-3])) AS n FROM c""",
+)
 def collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.length(X.collapse_repeats(F.col("text"))).alias("n"))
 
 
-@query("leakage_hash")
+@query("leakage_hash", f"WITH {STRICT_SQL} SELECT doc_id, sh AS h FROM strict")
 def leakage_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", X.leakage_hash(F.col("text")).alias("h"))
 
@@ -87,7 +91,7 @@ def _pattern_sql(name: str) -> str:
 
 @query("sensitive_pattern_counts", "SELECT source, " + ", ".join(map(_pattern_sql, PLAIN_PATTERNS)) + " FROM documents GROUP BY source")
 def sensitive_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = [F.count_if(F.col("text").rlike(X.SENSITIVE[n])).alias(n) for n in PLAIN_PATTERNS]
+    hits = [F.count_if(X.nfkc(F.col("text")).rlike(X.sensitive_pattern(n))).alias(n) for n in PLAIN_PATTERNS]
     return _docs(spark, sf_dir).groupBy("source").agg(*hits)
 
 
