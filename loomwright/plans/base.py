@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as X
 from loomwright.operators import corpus as C
-from loomwright.plans.registry import load
+from loomwright.plans.registry import load, spread
 
 NORM_SQL = "trim(regexp_replace(replace(lower(text),'ß','ss'),'[ \\n]+',' ','g'))"
 
@@ -32,7 +32,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their judgements, in the shape that ``canonical`` takes."""
     docs, labels = load(spark, sf_dir, "documents", "labels")
     known = F.col("toxic").isNotNull()
-    return docs.join(labels, "doc_id", "left").select(
+    return spread(docs).join(labels, "doc_id", "left").select(
         "text",
         F.when(known, F.lit(0)).alias("label"),
         "source",

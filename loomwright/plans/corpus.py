@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from loomwright.functions import text as X
 from loomwright.operators import corpus as C
 from loomwright.operators import sampling as S
+from loomwright.operators.storage import stored
 from loomwright.plans.base import CANONICAL_SQL, STRICT_SQL, canonical_rows, hash_unit, hash_unit_sql, raw_rows
 from loomwright.plans.registry import load, query
 
@@ -166,7 +167,8 @@ def leakage_strict_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prints(rows: DataFrame) -> DataFrame:
-    return rows.select("id", F.col("strict_hash").alias("hash"), X.fingerprint(F.col("text")).alias("fp"))
+    prints = rows.select("id", F.col("strict_hash").alias("hash"), X.fingerprint(F.col("text")).alias("fp"))
+    return stored(prints, "fingerprints")  # both sides of a join read them, more than once
 
 
 @query("near_duplicate_pairs")
@@ -272,7 +274,8 @@ def overlap_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _overlap_values(doc: DataFrame) -> DataFrame:
     """The texts of ``doc`` as the three values that overlap is judged by."""
-    return doc.withColumns({"hash": X.text_hash(F.col("text")), "strict": X.leakage_hash(F.col("text")), "fp": X.fingerprint(F.col("text"))}).drop("text")
+    t = F.col("text")
+    return stored(doc.withColumns({"hash": X.text_hash(t), "strict": X.leakage_hash(t), "fp": X.fingerprint(t)}).drop("text"), "overlap-values")
 
 
 @query("overlap_guard_full")

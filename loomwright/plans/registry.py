@@ -30,4 +30,11 @@ def load(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer tasks than that: one
+    large row group must not leave the texts of a table to one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 from loomwright.plans import corpus, evaluation, serving, texts  # noqa: E402,F401

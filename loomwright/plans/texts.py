@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from loomwright.functions import numeric as N
 from loomwright.functions import text as X
 from loomwright.plans.base import NORM_SQL, STRICT_SQL, hash_unit, hash_unit_sql
-from loomwright.plans.registry import load, query
+from loomwright.plans.registry import load, query, spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents")[0]
+    return spread(load(spark, sf_dir, "documents")[0])
 
 
 @query("normalized_text_hash", f"SELECT doc_id, sha256({NORM_SQL}) AS h, length({NORM_SQL}) AS n FROM documents")
