@@ -9,13 +9,16 @@ article, of which every block is kept whatever its own length, so that short
 paragraphs and headings survive. Paths through menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, known
 by element, role or class, never take part; a class that only names a part of
-the layout, as of a wrapper with a sidebar, does not remove the article in it.
+the layout, as of a wrapper with a sidebar, does not remove the article in it,
+and inside an article its own head and paragraphs stay whatever such names say.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_right as bisect
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,10 +55,13 @@ OUT_WORDS = frozenset(
 )
 #: Words among them that wrappers of the whole page bear too.
 LAYOUT_WORDS = frozenset("sidebar header masthead footer banner menu nav navbar navigation toolbar widget overlay".split())
+#: Words that inside an article name parts of it as well: its head, and paragraphs.
+HEAD_WORDS, PART_WORDS = frozenset(("header", "masthead")), frozenset("header masthead related recommended social".split())
 KEPT = frozenset(("html", "body", "main"))
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Elements that are never the container of an article.
 PARTS = frozenset(("p", *HEADINGS, "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption"))
+PARAGRAPHS = frozenset(("p", *HEADINGS, "blockquote", "pre"))
 SENTENCE = re.compile(r"[.!?。！？…]")
 #: A path is content above this part of the scores' standard deviation.
 SPREAD = 0.5
@@ -63,27 +69,31 @@ SPREAD = 0.5
 LINK_SHARE = 0.6
 
 
-def named_out(attrs: str) -> str:
-    """Whether class, id or role name something that is not the article:
-    '' (no), 'hidden', 'layout' (by words of the layout alone) or 'other'."""
+def names_of(attrs: str) -> frozenset[str] | None:
+    """The words by which class, id or role name something that is not the
+    article; None where it is hidden."""
     found: set[str] = set()
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return "hidden"
+            return None
         for part in value.split():
             words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", part).lower())
             if words and words[0] not in ("has", "with", "no"):
                 found |= OUT_WORDS.intersection(words)
-    return "" if not found else "layout" if found <= LAYOUT_WORDS else "other"
+    return frozenset(found)
 
 
 class _Paths:
-    """The tree of a page's tag paths; equal paths are one node."""
+    """The tree of a page's tag paths; equal paths are one node. A node's
+    number is above its parent's, and it knows what it lies under, so that no
+    question about it climbs the tree."""
 
     def __init__(self) -> None:
         self.ids: dict[tuple[int, str, bool], int] = {}
         self.parent, self.tag, self.out, self.depth = [-1], [""], [False], [0]
+        #: Under an article or main element, under a link; the nearest heading (0: none) and element that is not inline.
+        self.marked, self.linked, self.heading, self.block = [False], [False], [0], [0]
 
     def child(self, parent: int, tag: str, out: bool) -> int:
         key = (parent, tag, out)
@@ -93,22 +103,68 @@ class _Paths:
             self.tag.append(tag)
             self.out.append(out or self.out[parent])
             self.depth.append(self.depth[parent] + 1)
+            self.marked.append(self.marked[parent] or tag in ("article", "main"))
+            self.linked.append(self.linked[parent] or tag == "a")
+            self.heading.append(i if tag in HEADINGS else self.heading[parent])
+            self.block.append(self.block[parent] if tag in INLINE else i)
         return i
 
-    def common(self, a: int, b: int) -> int:
-        while a != b:
-            if self.depth[a] >= self.depth[b]:
-                a = self.parent[a]
-            else:
-                b = self.parent[b]
-        return a
+    def common(self, some: Iterable[int]) -> int:
+        """The deepest node that holds all of some nodes."""
+        held = [0] * len(self.parent)
+        every = set(some)
+        for p in every:
+            held[p] = 1
+        for p in range(len(held) - 1, 0, -1):
+            if held[p] == len(every):
+                return p
+            held[self.parent[p]] += held[p]
+        return 0
+
+    def inside(self, root: int) -> list[bool]:
+        """Of every node whether ``root`` holds it."""
+        out = [i == root for i in range(len(self.parent))]
+        for i in range(root + 1, len(out)):
+            out[i] = out[self.parent[i]]
+        return out
+
 
-    def under(self, p: int, tags: tuple[str, ...]) -> bool:
-        while p > 0:
-            if self.tag[p] in tags:
-                return True
-            p = self.parent[p]
-        return False
+class _Open:
+    """The open elements, with the places of each tag, so that what an element
+    closes is found without a walk over all that are open."""
+
+    def __init__(self) -> None:
+        #: Tag, path, innermost cut, whether out whatever its name, whether in an article that stays.
+        self.items: list[tuple[str, int, int | None, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, *rest) -> None:
+        self.places.setdefault(tag, []).append(len(self.items))
+        if tag not in INLINE:
+            self.blocks.append(len(self.items))
+        self.items.append((tag, *rest))
+
+    def cut(self, k: int) -> None:
+        while len(self.items) > k:
+            tag = self.items.pop()[0]
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        at = self.places.get(tag)
+        if at and not (tag in INLINE and self.blocks and self.blocks[-1] > at[-1]):
+            self.cut(at[-1])
+
+    def make_room(self, closed: frozenset[str] | set[str]) -> None:
+        """Close all of ``closed`` up to the nearest other element that bounds them."""
+        if not any(self.places.get(t) for t in closed):
+            return
+        bound = max((at[-1] for t in SCOPES.difference(closed) if (at := self.places.get(t))), default=-1)
+        first = min((at[i] for t in closed if (at := self.places.get(t)) and (i := bisect(at, bound)) < len(at)), default=None)
+        if first is not None:
+            self.cut(first)
 
 
 @dataclass
@@ -119,6 +175,9 @@ class _Cut:
     parent: int | None
     layout: bool
     article: bool = False
+    #: The head of an article that stays: kept once a heading is found in it.
+    head: bool = False
+    headed: bool = False
     texts: list[tuple[int, str]] = field(default_factory=list)
 
 
@@ -127,8 +186,8 @@ def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[_Paths, list
     removed by name, outer ones first, and whether an article or main element
     stays. Names of elements that end at a place in ``spared`` do not count."""
     paths, nodes, cuts, stays = _Paths(), [], [], False
-    #: Open elements: tag, path, innermost cut, whether out whatever its name.
-    stack: list[tuple[str, int, int | None, bool]] = []
+    opened = _Open()
+    stack = opened.items
     here = block = at = 0
     while at < len(page):
         m = MARK.search(page, at)
@@ -153,20 +212,10 @@ def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[_Paths, list
         if not inline:
             block += 1
         if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
+            opened.close(tag)
         else:
             if not inline:
-                closed = CLOSED_BY.get(tag, frozenset()) | {"p"}
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in closed:
-                        del stack[k:]
-                    elif stack[k][0] in SCOPES and not (stack[k][0] in closed):
-                        break
+                opened.make_room(CLOSED_BY.get(tag, set()) | {"p"})
             if tag in VOID or attrs.endswith("/") and tag not in INLINE and tag in ("path", "rect", "circle"):
                 here = stack[-1][1] if stack else 0
                 continue
@@ -176,20 +225,23 @@ def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[_Paths, list
                 at = stop.end()
                 here = parent
                 continue
-            name = named_out(attrs) if attrs and tag not in KEPT else ""
-            cut, hard = stack[-1][2:] if stack else (None, False)
-            hard = hard or tag in OUT or name == "hidden"
-            if name and at in spared:
-                name = ""
-            if name and not hard:
-                cuts.append(_Cut(at, cut, name == "layout"))
+            names = names_of(attrs) if attrs and tag not in KEPT else frozenset()
+            cut, hard, mine = stack[-1][2:] if stack else (None, False, False)
+            hard = hard or tag in OUT or names is None
+            names = names or frozenset()
+            if at in spared or mine and tag in PARAGRAPHS and names <= PART_WORDS:
+                names = frozenset()
+            if names and not hard:
+                cuts.append(_Cut(at, cut, names <= LAYOUT_WORDS, head=mine and cut is None and names <= HEAD_WORDS))
                 cut = len(cuts) - 1
+            if tag in HEADINGS and cut is not None and not hard:
+                cuts[cut].headed = True
             if tag in ("article", "main") and not hard:
                 if cut is None:
-                    stays = True
+                    stays = mine = True
                 else:
                     cuts[cut].article = True
-            stack.append((tag, paths.child(parent, tag, tag in OUT or bool(name)), cut, hard))
+            opened.push(tag, paths.child(parent, tag, hard or bool(names)), cut, hard, mine)
         here = stack[-1][1] if stack else 0
     return paths, nodes, cuts, stays
 
@@ -202,7 +254,7 @@ def wrappers(paths: _Paths, nodes: list[tuple[int, int, str]], cuts: list[_Cut],
     any such element, and without a sentence, the layout that holds most text."""
     if stays or not any(c.article or c.layout for c in cuts):
         return set()
-    plain = lambda found: any(SENTENCE.search(t) and not paths.under(p, (*HEADINGS, "a")) for p, t in found)
+    plain = lambda found: any(SENTENCE.search(t) and not (paths.heading[p] or paths.linked[p]) for p, t in found)
     rest = plain((p, t) for p, _, t in nodes)
     out: set[int] = set()
     if any(c.article for c in cuts):
@@ -236,12 +288,6 @@ def smooth(x: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def within(paths: _Paths, p: int, root: int) -> bool:
-    while p > root:  # a path's number is above its parent's
-        p = paths.parent[p]
-    return p == root
-
-
 def element_root(paths: _Paths, nodes: list[tuple[int, int, str]], root: int) -> int:
     """The outermost article element around ``root``, or the main element where
     there is none or only that one holds a heading before it; else the page."""
@@ -255,9 +301,10 @@ def element_root(paths: _Paths, nodes: list[tuple[int, int, str]], root: int) ->
         p = paths.parent[p]
     if not article or not main or paths.depth[article] < paths.depth[main]:
         return article or main
+    in_main, in_article = paths.inside(main), paths.inside(article)
     for p, _, text in nodes:
-        if text.strip() and within(paths, p, main) and paths.under(p, HEADINGS):
-            return article if within(paths, p, article) else main
+        if in_main[p] and paths.heading[p] and text.strip():
+            return article if in_article[p] else main
     return article
 
 
@@ -267,21 +314,20 @@ def headed_root(paths: _Paths, nodes: list[tuple[int, int, str]], root: int) ->
     as of a site's name, do not count."""
     level = len(HEADINGS) + 1
     before: list[tuple[int, int]] = []
+    held = paths.inside(root)
     for p, _, text in nodes:
         if not text.strip():
             continue
-        q = p
-        while q > 0 and paths.tag[q] not in HEADINGS:
-            q = paths.parent[q]
-        if within(paths, p, root):
+        q = paths.heading[p]
+        if held[p]:
             if q > root:
                 level = HEADINGS.index(paths.tag[q]) + 1
             break
-        if q > 0 and not paths.under(p, ("a",)):
+        if q > 0 and not paths.linked[p]:
             before.append((HEADINGS.index(paths.tag[q]) + 1, q))
     for rank, q in reversed(before):
         if rank < level:
-            root, level = paths.common(root, q), rank
+            root, level = paths.common((root, q)), rank
     while root > 0 and (paths.tag[root] in INLINE or paths.tag[root] in PARTS):
         root = paths.parent[root]
     return root
@@ -300,16 +346,13 @@ def article_root(paths: _Paths, nodes: list[tuple[int, int, str]]) -> tuple[int,
     if not stats:
         return 0, set()
 
-    marked = {p for p in stats if paths.under(p, ("article", "main"))}
+    marked = {p for p in stats if paths.marked[p]}
     keys = [p for p in stats if not marked or p in marked]
     values = np.array([stats[p] for p in keys], float)
     length, marks = smooth(values[:, 0] / values[:, 2]), smooth(values[:, 1] / values[:, 2])
     fused = length * (1 + marks)
     limit = min(SPREAD * fused.std(), fused.max()) if len(keys) > 1 else 0.0
-    content = [p for p, f in zip(keys, fused, strict=True) if f >= limit]
-    root = content[0]
-    for p in content[1:]:
-        root = paths.common(root, p)
+    root = paths.common(p for p, f in zip(keys, fused, strict=True) if f >= limit)
     while root > 0 and (paths.tag[root] in INLINE or paths.tag[root] in PARTS):
         root = paths.parent[root]
     if marked:
@@ -318,42 +361,29 @@ def article_root(paths: _Paths, nodes: list[tuple[int, int, str]]) -> tuple[int,
     links: dict[int, int] = {}
     total: dict[int, int] = {}
     for p, s in stats.items():
-        q, linked = p, paths.under(p, ("a",))
-        while q > 0 and paths.tag[q] in INLINE:
-            q = paths.parent[q]
+        q = paths.block[p]
         total[q] = total.get(q, 0) + s[0]
-        links[q] = links.get(q, 0) + s[0] * linked
+        links[q] = links.get(q, 0) + s[0] * paths.linked[p]
     bad = {q for q in total if links[q] > LINK_SHARE * total[q]}
-
-    def block_of(p: int) -> int:
-        while p > 0 and paths.tag[p] in INLINE:
-            p = paths.parent[p]
-        return p
-
-    return root, {p for p in stats if block_of(p) in bad}
+    return root, {p for p in stats if paths.block[p] in bad}
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, white space within each squeezed,
-    joined by blank lines. Null, empty and textless pages give ''."""
+    joined by blank lines. Null, empty and textless pages give ''. The time is
+    in proportion to the page, however long it is or deep its elements lie."""
     if not page:
         return ""
     paths, nodes, cuts, stays = parse(page)
-    if held := wrappers(paths, nodes, cuts, stays):
+    held = wrappers(paths, nodes, cuts, stays).union(c.place for c in cuts if c.head and c.headed)
+    if held:
         paths, nodes, _, _ = parse(page, frozenset(held))
     root, leave = article_root(paths, nodes)
+    inside = paths.inside(root)
     blocks: list[list[str]] = []
-    last, inside = None, {root: True, 0: root == 0}
+    last = None
     for path, block, text in nodes:
-        if path in leave:
-            continue
-        if path not in inside:
-            p, trail = path, []
-            while p not in inside:
-                trail.append(p)
-                p = paths.parent[p]
-            inside.update(dict.fromkeys(trail, inside[p]))
-        if not inside[path]:
+        if path in leave or not inside[path]:
             continue
         if block != last:
             blocks.append([])
@@ -365,7 +395,8 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text of each; rows and other columns stay as
-    they are, and a column named ``out`` is replaced."""
+    they are, whatever their names, and a column named ``out`` is replaced.
+    Repeated rows are extracted each; an empty table gives no rows."""
     small_batches(pages.sparkSession)
 
     @F.arrow_udf("string")

@@ -44,6 +44,28 @@ def test_html_class_words_do_not_remove_the_article():
     assert isinstance(html_text.main_text("<div class=sidebar>" * 3000 + LONG), str)
 
 
+def test_html_class_words_inside_the_article():
+    head = '<div class="article-header"><h1>Head</h1></div>'
+    body = f'{head}<p>{LONG}</p><p class="related-work">Related work.</p><div class="comments"><p>{LONG}</p></div><div class="ad">Buy.</div>'
+    assert html_text.main_text(f"<body><div class=header><h2>Site</h2></div><article>{body}</article></body>") == f"Head\n\n{LONG.strip()}\n\nRelated work."
+    assert html_text.main_text(f"<article><div class=header>By the staff</div><p>{LONG}</p></article>") == LONG.strip()
+
+
+def test_html_in_linear_time():
+    for piece in ("<h1>", "<h1>x", "<div>x", "<span>x", "<ul><li>x", "<p>x", "</div>", "<div class=ad>x", "<article><h1>x"):
+        began = time.process_time()
+        assert isinstance(html_text.main_text(piece * (1_000_000 // len(piece))), str)
+        assert time.process_time() - began < 6, piece
+
+
+def test_html_frame_with_odd_rows(spark):
+    rows = [(1, "<p>One.</p>", "t", 5), (1, "<p>One.</p>", "t", 5), (2, "", "t", 5), (3, "<article>" + f"<p>{LONG}</p>" * 2000, "t", 5)]
+    df = spark.createDataFrame(rows, "page_id long, html string, block string, path int")
+    got = html_text.extract(df)
+    assert got.columns == [*df.columns, "text"] and got.where("text = 'One.'").count() == 2 and html_text.extract(df.limit(0)).count() == 0
+    assert got.where("page_id = 3").first().text.count("\n\n") == 1999
+
+
 def test_secret_candidates_are_whole():
     r = random.Random(6)
     pick = lambda n, extra="": "".join(r.choice(string.ascii_letters + string.digits + extra) for _ in range(n))
