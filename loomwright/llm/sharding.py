@@ -1,11 +1,12 @@
 """Sharding indivisible groups by Karmarkar-Karp differencing.
 
 Groups are documents of equal text. They fall into cells by their digest; in
-each cell differencing packs the groups into bins, in parallel. The bins of
-all cells, and on their own the few groups too heavy for a bin, are then
-differenced into the shards. Both rounds hold a bounded number of items per
-task: a cell some thousands of groups, the driver ``ITEMS`` bins and at most
-``HEAVY`` heavy groups.
+each cell differencing packs the groups into bins, in parallel. While there
+are more than ``ITEMS`` bins they are packed again like groups. The bins that
+are left, and on their own the few groups with a notable part of all bytes or
+rows, are then differenced into the shards. Every round holds a bounded number
+of items per task: a cell some thousands, the driver ``ITEMS`` bins and at
+most twice ``HEAVY`` heavy groups.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import window as W
 
 from loomwright.llm.common import stored
 
-#: Groups in a cell, bins of all cells, groups heavier than this part of all bytes stand alone.
+#: Groups in a cell, bins of all cells, groups of more than this part of all bytes or rows stand alone.
 CELL_GROUPS, ITEMS, HEAVY = 8192, 1 << 16, 4096
 SLOT_ROWS = 1 << 16
 
@@ -82,29 +83,41 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
         ),
         "shard-rows",
     )
-    groups = stored(slim.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
-    total = groups.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
-    cells = min(max(1, -(-total.n // CELL_GROUPS)), ITEMS // 4)
-    bins = max(4, min(256, ITEMS // cells))
-    limit = max(1, (total.bytes or 0) // HEAVY)
-    heavy = groups.where(F.col("bytes") > limit)
-    light = groups.where(F.col("bytes") <= limit).withColumn("cell", F.pmod(F.xxhash64("digest"), F.lit(cells)).cast("int"))
+    groups = stored(slim.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
+    total = groups.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).first()
+    weighty = (F.col("bytes") > max(1, (total.bytes or 0) // HEAVY)) | (F.col("rows") > max(1, (total.rows or 0) // HEAVY))
+    heavy, light = groups.where(weighty), groups.where(~weighty)
 
-    def pack(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("digest")
-        return cell.assign(bin=difference(cell.bytes.to_numpy(np.int64), bins).astype(np.int32))
+    def packer(bins: int):
+        def pack(cell: pd.DataFrame) -> pd.DataFrame:
+            cell = cell.sort_values("item")
+            return cell.assign(bin=cell.cell.astype(np.int64) * bins + difference(cell.bytes.to_numpy(np.int64), bins))
 
-    packed = stored(light.groupBy("cell").applyInPandas(pack, "digest binary, bytes long, cell int, bin int"), "shard-bins")
-    # Bounded: HEAVY groups weigh over 1/HEAVY of all bytes each, ITEMS bins exist at most.
+        return pack
+
+    # Levels of packing: each maps its items to bins, which are the next level's items.
+    items, n, levels = light.select(F.col("digest").alias("item"), "bytes"), total.n, []
+    while not levels or n > ITEMS:
+        cells = max(1, -(-n // CELL_GROUPS))
+        bins = max(4, min(256, ITEMS // cells))
+        dealt = items.withColumn("cell", F.pmod(F.xxhash64("item"), F.lit(cells)).cast("long"))
+        kind = dict(items.dtypes)["item"]
+        levels.append(stored(dealt.groupBy("cell").applyInPandas(packer(bins), f"item {kind}, bytes long, cell long, bin long"), "shard-bins"))
+        items = stored(levels[-1].groupBy(F.col("bin").alias("item")).agg(F.sum("bytes").alias("bytes")), "shard-items")
+        n = items.count()
+    # Bounded: HEAVY groups have over 1/HEAVY of all bytes each, as many of all rows, and ITEMS bins are left.
     alone = sorted((bytes(r.digest), r.bytes) for r in heavy.collect())
-    filled = sorted((r.cell, r.bin, r.bytes) for r in packed.groupBy("cell", "bin").agg(F.sum("bytes").alias("bytes")).collect())
-    where = difference(np.array([b for *_, b in alone] + [b for *_, b in filled], np.int64), shards).tolist()
+    filled = sorted((r.item, r.bytes) for r in items.collect())
+    where = difference(np.array([b for _, b in alone] + [b for _, b in filled], np.int64), shards).tolist()
     alone_at = spark.createDataFrame(
         [(d, s) for (d, _), s in zip(alone, where)],
         T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("shard", T.IntegerType())]),
     )
-    bin_at = spark.createDataFrame([(c, b, s) for (c, b, _), s in zip(filled, where[len(alone) :])], "cell int, bin int, shard int")
-    by_digest = packed.join(F.broadcast(bin_at), ["cell", "bin"]).select("digest", "shard")
+    at = F.broadcast(spark.createDataFrame([(b, s) for (b, _), s in zip(filled, where[len(alone) :])], "bin long, shard int"))
+    for level in reversed(levels):
+        by_item = level.join(at, "bin").select("item", "shard")
+        at = by_item.withColumnRenamed("item", "bin")
+    by_digest = by_item.withColumnRenamed("item", "digest")
     hot = slim.join(F.broadcast(alone_at), "digest")
     cold = slim.join(F.broadcast(alone_at), "digest", "left_anti").join(by_digest, "digest")
     lanes = max(1, min(SLOT_ROWS, (total.n or 0) // SLOT_ROWS))
