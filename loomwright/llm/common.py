@@ -18,18 +18,26 @@ ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the
-    session, or, only where it is unset (tests), a local folder that is then
-    set for the session too."""
+    session, by its full address. Only where it is unset and the master is
+    local, as in tests, a local folder is made and set for the session too."""
+    sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        sc = spark.sparkContext
         have = sc._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
-        root = f"file://{tempfile.mkdtemp(prefix='loomwright-')}"
-        sc.setCheckpointDir(root)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='loomwright-')}")
         return sc._jsc.sc().getCheckpointDir().get()
-    return root
+    return qualified(spark, root)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority that Spark reads it by: a path
+    without a scheme is one of the default file system, not of a local disk."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def stored(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:

@@ -4,8 +4,8 @@ A record is a frame around one serialized document::
 
     u64 length | u32 masked checksum of the 8 length bytes | payload | u32 masked checksum of the payload
 
-all little-endian; the payload is ``i64 doc_id`` (the lowest value: null), ``u8``
-width of an id in bytes (2 or 4) and the ids. A checksum is a CRC-32, masked by
+all little-endian; the payload is ``i64 doc_id``, ``u8`` width of an id in bytes
+(2 or 4; with the highest bit: the doc_id is null) and the ids. A checksum is a CRC-32, masked by
 a rotation and an addition, so that a checksum over data that hold checksums
 stays sound. Each task writes its range of ids into files of its own attempt;
 the index (file, place, doc_id, offset, length, tokens), a Parquet table that
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from loomwright.llm.bpe import byte_alphabet
-from loomwright.llm.common import scratch_root, small_batches, stored
+from loomwright.llm.common import qualified, scratch_root, small_batches, stored
 
 FILE_BYTES = 64 << 20
-NO_ID = -(1 << 63)
+NO_ID = 0x80
 CACHE_PIECES, CACHE_WORDS, CACHE_CHARS = 600_000, 500_000, 48
 INDEX = "file string, part int, place long, doc_id long, offset long, length long, tokens long"
 PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([,.;:!?]?)\Z")
@@ -69,13 +69,13 @@ def frames(stream, name: str) -> Iterator[tuple[int, bytes]]:
 
 def packed(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
     kind = "<u2" if width == 2 else "<u4"
-    return struct.pack("<qB", NO_ID if doc_id is None else doc_id, width) + ids.astype(kind).tobytes()
+    return struct.pack("<qB", doc_id or 0, width | (NO_ID if doc_id is None else 0)) + ids.astype(kind).tobytes()
 
 
 def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
     doc_id, width = struct.unpack_from("<qB", payload)
-    ids = np.frombuffer(payload, "<u2" if width == 2 else "<u4", offset=9)
-    return (None if doc_id == NO_ID else doc_id), ids
+    ids = np.frombuffer(payload, "<u2" if width & ~NO_ID == 2 else "<u4", offset=9)
+    return (None if width & NO_ID else doc_id), ids
 
 
 def store(root: str) -> tuple[pafs.FileSystem, str]:
@@ -170,6 +170,7 @@ def write_records(docs: DataFrame, root: str, path: str, end_id: int, id_col: st
     table gives an empty index. Files of attempts that failed stay unnamed."""
     spark = docs.sparkSession
     small_batches(spark)
+    root = qualified(spark, root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = store(root)
@@ -205,6 +206,7 @@ def read_records(spark: SparkSession, root: str, index: DataFrame) -> DataFrame:
 
     ``start`` is the number of ids of all documents before; files are read by
     one task each, in any order, since the index gives each file's start."""
+    root = qualified(spark, root)
     files = index.groupBy("part", "file").agg(F.min("place").alias("place"), F.sum("tokens").alias("tokens"))
     before = W.Window.orderBy("part", "place").rowsBetween(W.Window.unboundedPreceding, -1)
     files = files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select("file", "start")
