@@ -76,8 +76,9 @@ def probes_needed(x: np.ndarray, c: np.ndarray, k: int, coverage: float) -> int:
     return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(coverage * len(ranks))) - 1)]) + 1
 
 
-def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, qid: int, q: np.ndarray, q_turned: np.ndarray, k: int) -> list[tuple[float, int]]:
-    """The k nearest of one block for one query: (cosine, id)."""
+def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, qid: int, q: np.ndarray, q_turned: np.ndarray, k: int, epsilon: float = EPSILON) -> list[tuple[float, int]]:
+    """The k nearest of one block for one query: (cosine, id). With an infinite
+    ``epsilon`` nothing is abandoned before its whole distance is known."""
     own = ids != qid
     at = np.nonzero(own)[0]
     if not len(at):
@@ -90,7 +91,7 @@ def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, qid: int, q: np.nda
         limit = 2 - 2 * float(exact(first).min()) + 1e-6  # the k-th best distance so far
         d = min(COLUMNS, dim)
         while True:
-            keep = part <= limit * d / dim * (1 + EPSILON / np.sqrt(d)) ** 2 if d < dim else part <= limit
+            keep = part <= limit * d / dim * (1 + epsilon / np.sqrt(d)) ** 2 if d < dim else part <= limit
             at, part = at[keep], part[keep]
             if d >= dim or len(at) <= 4 * k:
                 break
@@ -108,14 +109,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     Vectors that are null, empty or zero or hold null or non-finite components
     take no part, nor do rows without an id; vectors meet only those of their
-    own length. Of repeated ids one arbitrary row counts per block. With fewer
-    candidates than k, all are returned; an empty table gives no rows. Ties go
-    to the smaller id."""
+    own length. Of rows that repeat an id the smallest vector, in order of its
+    components, counts, as a query if any of them is one. With fewer candidates
+    than k, all are returned; an empty table gives no rows; other columns are
+    ignored whatever their names. Ties go to the smaller id. ``coverage`` of 1
+    is exact: all lists are probed and nothing is abandoned early."""
     spark = vectors.sparkSession
     small_batches(spark)
     v = F.col(f"`{vec_col}`").cast("array<double>")
     clean = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"), is_query.alias("q"))
     clean = clean.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    if not clean.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        clean = stored(clean.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "ann-vectors")
+    epsilon = EPSILON if coverage < 1 else float("inf")
     dims = clean.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     dim, total = (dims.dim, dims.n) if dims else (1, 0)
     lists = int(min(LISTS, max(1, -(-total // LIST_ROWS))))
@@ -123,7 +129,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     sample = picked.toPandas()["v"]
     x = unit(np.stack(sample.to_numpy())) if len(sample) else np.ones((1, dim))
     centroids = fit_centroids(x, lists)
-    least_lists = probes_needed(x, centroids, k, coverage)
+    least_lists = probes_needed(x, centroids, k, coverage) if coverage < 1 else len(centroids)
     shared = spark.sparkContext.broadcast((centroids, dim))
 
     @F.arrow_udf("int")
@@ -180,7 +186,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
             q = unit(np.stack(ask_rows.v.to_numpy()))
             turned, q_turned = x @ turn, q @ turn
             for i, qid in enumerate(ask_rows.query_id.tolist()):
-                found += [(qid, i_, s) for s, i_ in scan(ids, x, turned, qid, q[i], q_turned[i], k)]
+                found += [(qid, i_, s) for s, i_ in scan(ids, x, turned, qid, q[i], q_turned[i], k, epsilon)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     hits = ask.groupBy(*key).cogroup(base.groupBy(*key)).applyInPandas(lambda a, b: local(b, a), "query_id long, vec_id long, score double")
