@@ -1,11 +1,14 @@
 """The training-data operators and the pipeline on odd tables: clashing names, repeats, ties."""
 
+import zlib
+
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.llm import exact_dedup, mixing, toxicity
+from loomwright.llm import ann, bpe, exact_dedup, mixing, secret_scan, sharding, token_records, toxicity
 
 
 def test_exact_dedup_keeps_different_texts_of_one_id(spark):
@@ -122,3 +125,77 @@ def test_pipeline_stage_by_stage(spark, corpus):
     for f in stages.values():
         assert f(spark, docs.limit(0), corpus).count() == 0
     assert corpus_pipeline.run(spark, corpus).count() == len(ids(four))
+
+
+def test_nearest_with_repeated_ids_and_exactly(spark):
+    x = np.random.default_rng(7).standard_normal((300, 16))
+    rows = [(i, v.tolist(), "a", 1) for i, v in enumerate(x)] + [(1, [9.0] * 16, "b", 2)] * 6 + [(50, x[50].tolist(), "c", 3), (50, [9.0] * 16, "c", 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string, dim int")
+    smallest = {i: v for i, v in enumerate(x)}
+    for i in (1, 50):
+        smallest[i] = np.array(min([x[i].tolist(), [9.0] * 16]))
+    u = np.array([smallest[i] / np.linalg.norm(smallest[i]) for i in range(300)])
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, coverage=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 300, 50):
+        s = u @ u[q]
+        s[q] = -2
+        assert [v for _, v, _ in sorted(got[q])] == np.lexsort((np.arange(300), -s))[:5].tolist()
+
+
+def test_nearest_recall_on_the_table(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"]).to_pydict()
+    ids, x = np.array(table["vec_id"]), np.array(table["embedding"], float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in ann.nearest(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[i]
+        s[i] = -2
+        hits += len(found[ids[i]] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+        total += 5
+    assert hits >= 0.9 * total
+
+
+@pytest.mark.parametrize("items", [1 << 16, 40])
+def test_shards_of_many_levels_and_odd_rows(spark, monkeypatch, items):
+    monkeypatch.setattr(sharding, "ITEMS", items)
+    monkeypatch.setattr(sharding, "CELL_GROUPS", 64)
+    rows = [(i, f"doc {i % 900} " * (i % 30 + 1), 1, "x") for i in range(2000)] + [(7, None, 1, "x"), (7, "", 1, "x"), (None, "n", 1, "x")] + [(9, "", 1, "x")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, digest string")
+    got = sharding.shard_by_bytes(df).collect()
+    assert len(got) == len(rows)
+    where, sizes = {}, [0] * 24
+    for r in got:
+        assert where.setdefault((r.text_crc32, r.size), r.shard) == r.shard
+        sizes[r.shard] += r.size
+    assert where[zlib.crc32(b""), 8] is not None and max(sizes) - min(sizes) <= max(max(sizes) // 50, 402 * 8 + 400)
+    for k in range(24):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_records_with_extreme_null_and_repeated_ids(spark):
+    low = -(1 << 63)
+    rows = [(low, "lowest"), (None, "b"), (None, None), (3, "two"), (3, "one"), (3, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("file", F.lit(1)).withColumn("tokens", F.lit(2))
+    root = token_records.fresh_root(spark)
+    index = token_records.write_records(df, root, public_tokenizers.path("word_bpe_49k.json"), 2)
+    got = sorted(token_records.read_records(spark, root, index).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, low, 3, 3, 3] and got[0].n_tokens == 1
+    assert token_records.unpacked(token_records.packed(low, np.array([1]), 2))[0] == low
+
+
+def test_scans_of_odd_tables(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    key = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    df = spark.createDataFrame([(1, key, 1), (1, key, 1), (2, "word " * 50000 + key, 1), (None, None, 1)], "doc_id long, text string, p int")
+    got = secret_scan.scan(df, path).collect()
+    assert len(got) == 4 and sorted(len(r.findings or []) for r in got) == [0, 1, 1, 1]
+    assert secret_scan.scan(df.limit(0), path).count() == 0
+    twice = df.select("doc_id", "text", F.lit(1).alias("rows"), F.lit(2).alias("n"))
+    assert bpe.encode(twice, public_tokenizers.path("byte_bpe_50k.json")).count() == 4
