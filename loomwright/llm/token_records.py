@@ -37,9 +37,7 @@ from loomwright.llm.common import qualified, scratch_root, small_batches, stored
 
 FILE_BYTES = 64 << 20
 NO_ID = 0x80
-CACHE_PIECES, CACHE_WORDS, CACHE_CHARS = 500_000, 500_000, 48
-#: New pieces are learnt for so many pieces at once.
-ROUND_PIECES = 120_000
+CACHE_PIECES, CACHE_WORDS, CACHE_CHARS = 600_000, 500_000, 48
 INDEX = "file string, part int, place long, doc_id long, offset long, length long, tokens long"
 PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([,.;:!?]?)\Z")
 SPACES = re.compile(r"[ \t-\r]+")
@@ -127,35 +125,25 @@ class PieceEncoder:
             made[p] = array(self.code, e.ids).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; new pieces are learnt for many texts at once."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        parts: list[tuple[int, list[str]]] = []
-        held = 0
-        for k, text in enumerate(texts):
-            for pieces in self._lists(text or ""):
-                parts.append((k, pieces))
-                held += len(pieces)
-                if held > ROUND_PIECES:
-                    self._round(parts, out)
-                    parts, held = [], 0
-        self._round(parts, out)
-        return [np.frombuffer(b"".join(x), self.kind) for x in out]
-
-    def _round(self, parts: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
-        new = set().union(*(p for _, p in parts)).difference(self.pieces.keys())
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        self._learn(list(new))
-        known = self.pieces.__getitem__
-        for k, pieces in parts:
-            out[k].append(b"".join(map(known, pieces)))
-        for p in new:
-            if len(p) > CACHE_CHARS:
-                del self.pieces[p]
-                if m := PLAIN.match(p):
-                    self.words.pop(m[1].lower(), None)
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {}
+        out = []
+        for text in texts:
+            coded = []
+            for piece_list in self._lists(text or ""):
+                new = {p for p in set(piece_list) if p not in self.pieces}
+                if new:
+                    if len(self.pieces) + len(new) > CACHE_PIECES:
+                        self.pieces, new = {}, set(piece_list)
+                    if len(self.words) > CACHE_WORDS:
+                        self.words = {}
+                    self._learn(list(new))
+                coded.append(b"".join(map(self.pieces.__getitem__, piece_list)))
+                for p in new:
+                    if len(p) > CACHE_CHARS:
+                        del self.pieces[p]
+                        if m := PLAIN.match(p):
+                            self.words.pop(m[1].lower(), None)
+            out.append(np.frombuffer(b"".join(coded), self.kind))
+        return out
 
     @staticmethod
     def _lists(text: str, chars: int = 1 << 20) -> Iterator[list[str]]:
