@@ -37,7 +37,7 @@ from loomwright.llm.common import qualified, scratch_root, small_batches, stored
 
 FILE_BYTES = 64 << 20
 NO_ID = 0x80
-CACHE_PIECES, CACHE_WORDS, CACHE_CHARS = 600_000, 500_000, 48
+CACHE_PIECES, CACHE_WORDS, CACHE_CHARS = 700_000, 500_000, 48
 INDEX = "file string, part int, place long, doc_id long, offset long, length long, tokens long"
 PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([,.;:!?]?)\Z")
 SPACES = re.compile(r"[ \t-\r]+")
@@ -114,12 +114,18 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         known, tokenize, made, odd = self.words, self.lib.model.tokenize, self.pieces, []
         for p in pieces:
-            if not (m := PLAIN.match(p)):
+            if p.isascii() and p.isalpha():
+                word, mark = p.lower(), ""
+            elif p[-1] in self.marks and (body := p[:-1]).isascii() and body.isalpha():
+                word, mark = body.lower(), p[-1]
+            elif m := PLAIN.match(p):
+                word, mark = m[1].lower(), m[2]
+            else:
                 odd.append(p)
                 continue
-            word, mark = m[1].lower(), m[2]
             if (coded := known.get(word)) is None:
-                coded = known[word] = array(self.code, [t.id for t in tokenize(word.translate(self.as_bytes))]).tobytes()
+                letters = word if word.isascii() else word.translate(self.as_bytes)
+                coded = known[word] = array(self.code, [t.id for t in tokenize(letters)]).tobytes()
             made[p] = coded + self.marks[mark] if mark else coded
         for p, e in zip(odd, self.lib.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             made[p] = array(self.code, e.ids).tobytes()
@@ -129,7 +135,7 @@ class PieceEncoder:
         for text in texts:
             coded = []
             for piece_list in self._lists(text or ""):
-                new = {p for p in set(piece_list) if p not in self.pieces}
+                new = set(piece_list).difference(self.pieces)
                 if new:
                     if len(self.pieces) + len(new) > CACHE_PIECES:
                         self.pieces, new = {}, set(piece_list)
