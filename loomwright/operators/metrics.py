@@ -120,6 +120,45 @@ def threshold_at_fpr(df: DataFrame, budget: float, by: Sequence[str] = ()) -> Da
     return best.select(*by, F.coalesce("kept", beyond).alias("threshold"), F.col("kept").isNull().alias("above"))
 
 
+def threshold_with_invalid(df: DataFrame, budget: float, by: Sequence[str] = ()) -> DataFrame:
+    """As :func:`threshold_at_fpr` for rows of which some (``invalid``) have no
+    usable score and are flagged whatever the threshold; null where not even a
+    threshold beyond all scores keeps the budget."""
+    invalid = F.coalesce(F.col("invalid"), F.lit(False))
+    always = df.groupBy(*by).agg(count_if(invalid & (F.col("label") == 0)).alias("always"), count_if(F.col("label") == 0).alias("all_negatives"))
+    kept = curve(df.where(~invalid), by).select(*by, "threshold", "fp")
+    kept = always.join(kept, list(by), "left") if by else always.crossJoin(kept)
+    fine = F.col("always") + F.col("fp") <= budget * F.col("all_negatives")
+    best = kept.groupBy(*by, "always", "all_negatives").agg(F.min(F.when(fine, F.col("threshold"))).alias("kept"), F.max("threshold").alias("top"))
+    beyond = next_after(F.when(F.col("kept").isNull() & (F.col("always") <= budget * F.col("all_negatives")), F.coalesce("top", F.lit(1.0))))
+    return best.select(*by, F.coalesce("kept", beyond).alias("threshold"))
+
+
+def high_thresholds(df: DataFrame, low: float, cap: float) -> DataFrame:
+    """Candidate high thresholds: just above each negative's score, above
+    ``low`` and above all scores, if beyond ``low`` and within the share ``cap``
+    of false positives (rounded down)."""
+    top = F.greatest(F.lit(1.0), F.max("score"))
+    whole = df.agg(count_if(F.col("label") == 0).alias("negatives"), top.alias("top"))
+    points = df.where("label = 0").select("score").unionByName(whole.select(F.col("top").alias("score")))
+    points = points.unionByName(whole.select(F.lit(low).alias("score"))).distinct()  # one row each
+    marks = df.where("label = 0").groupBy("score").agg(F.count("*").alias("q")).unionByName(points.select("score", F.lit(0).alias("q")))
+    marks = marks.groupBy("score").agg(F.sum("q").alias("q"), F.max(F.col("q") == 0).alias("point"))
+    above = running(marks, [], "score", {"upto": "q"}).where("point").withColumn("false_positives", F.col("upto") - F.col("q"))
+    fine = F.col("false_positives") <= F.floor(F.lit(cap) * F.col("negatives") + 1e-12)
+    return above.crossJoin(F.broadcast(whole)).where(fine & (F.col("score") >= low)).select(next_after(F.col("score")).alias("threshold"), "false_positives")
+
+
+def critical_slices(before: DataFrame, after: DataFrame, fields: Sequence[str], least: int = 20) -> DataFrame:
+    """Change of recall per slice with ``least`` positives in the baseline; the
+    smallest is the critical loss."""
+    of = lambda df, name: slices(df, fields).select("field", "value", (F.col("tp") + F.col("fn")).alias(f"{name}_positives"), F.col("recall").alias(name))
+    both = of(before, "baseline_recall").join(of(after, "candidate_recall"), ["field", "value"])
+    both = both.where(F.col("baseline_recall_positives") >= least)
+    delta = F.col("candidate_recall") - F.col("baseline_recall")
+    return both.select("field", "value", F.col("baseline_recall_positives").alias("positives"), "baseline_recall", "candidate_recall", delta.alias("delta"))
+
+
 def threshold_for_precision(df: DataFrame, floor: float, by: Sequence[str] = ()) -> DataFrame:
     """Of thresholds with precision at the floor or over it, the one of largest
     recall; among equals the highest threshold."""

@@ -73,3 +73,18 @@ def whole_groups(counts: Sequence[tuple[str, int]], n: int) -> list[str]:
             out.append(name)
             n -= rows
     return out
+
+
+def band_targets(capacities: dict[str, int], total: int) -> dict[str, int]:
+    """Rows to take from each band: even shares in the bands' order, the odd
+    rows to the first, until ``total`` is reached; full bands pass theirs on."""
+    if total < 1 or min(capacities.values(), default=0) < 0 or sum(capacities.values()) < total:
+        raise ValueError("the bands cannot give so many rows")
+    taken, left = dict.fromkeys(capacities, 0), total
+    while left:
+        room = [b for b in capacities if taken[b] < capacities[b]]
+        share, odd = divmod(left, len(room))
+        for i, b in enumerate(room):
+            more = min(capacities[b] - taken[b], share + (i < odd))
+            taken[b], left = taken[b] + more, left - more
+    return taken

@@ -37,4 +37,4 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-from loomwright.plans import corpus, evaluation, serving, texts  # noqa: E402,F401
+from loomwright.plans import audits, corpus, evaluation, serving, texts  # noqa: E402,F401

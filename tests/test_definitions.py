@@ -12,6 +12,7 @@ from loomwright.operators import cascade as K
 from loomwright.operators import corpus as C
 from loomwright.operators import metrics as M
 from loomwright.operators import retrieval as R
+from loomwright.operators import sampling as S
 
 
 def values(spark, column, texts):
@@ -136,3 +137,32 @@ def test_panel_digest_sees_every_row(spark):
     digest = lambda d: {r.lang: r.digest for r in C.panel_digest(d, "lang", "text").collect()}
     assert digest(df) == digest(df.orderBy(F.desc("text")))
     assert all(digest(df.where(F.col("text") != f"t{i}"))["x"] != digest(df)["x"] for i in (0, 3, 49))
+
+
+def test_threshold_around_invalid_rows(spark):
+    rows = [(0, 0.9, False), (0, 0.2, False), (0, 0.0, True), (1, 0.8, False), (1, 0.5, None)]
+    df = spark.createDataFrame(rows, "label int, score double, invalid boolean")
+    assert [M.threshold_with_invalid(df, b).first().threshold for b in (1 / 3, 2 / 3, 1.0)] == [math.nextafter(0.9, math.inf), 0.5, 0.2]
+    assert M.threshold_with_invalid(df, 0.1).first().threshold is None
+
+
+def test_high_thresholds_under_a_cap(spark):
+    rows = [(0, s) for s in (0.1, 0.3, 0.3, 0.6, 0.7)] + [(1, 0.95)]
+    got = {r.threshold: r.false_positives for r in M.high_thresholds(spark.createDataFrame(rows, "label int, score double"), 0.2, 0.4).collect()}
+    assert got == {math.nextafter(s, math.inf): n for s, n in ((0.3, 2), (0.6, 1), (0.7, 0), (1.0, 0))}
+
+
+def test_band_targets():
+    assert S.band_targets({"a": 1, "b": 9, "c": 9}, 10) == {"a": 1, "b": 5, "c": 4}
+    assert S.band_targets({"a": 5, "b": 5}, 3) == {"a": 2, "b": 1}
+    with pytest.raises(ValueError):
+        S.band_targets({"a": 1}, 2)
+
+
+def test_held_out_filter_reasons(spark):
+    far = lambda x: {"lo": x * 0x9E3779B97F4A7C15 % (1 << 62), "hi": x * 0xC2B2AE3D27D4EB4F % (1 << 62)}
+    kind = "id int, hash string, strict string, fp struct<lo:long,hi:long>"
+    held = spark.createDataFrame([(0, "h", "s", far(3))], kind).drop("id")
+    rows = [(1, "h", "s", None), (2, "x", "s", None), (3, "y", "t", far(3)), (4, "z", "u", far(9)), (5, "w", "u", far(11)), (6, "v", "r", None)]
+    got = {r.id: r.reason for r in C.held_out_filter(spark.createDataFrame(rows, kind), held).collect()}
+    assert got == {1: "normalized_exact", 2: "strict_exact", 3: "near", 4: None, 5: "duplicate", 6: None}
