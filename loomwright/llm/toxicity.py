@@ -209,9 +209,11 @@ def train(
     index, scale = chosen_features(held, ys, features)
     chosen = docs.sparkSession.createDataFrame(list(index.items()), "f string, k int")
     at = held.select("id", F.explode("held").alias("f")).join(F.broadcast(chosen), "f").groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("k"))
-    got = held.drop("held").join(at, "id", "left").orderBy("id").collect()  # one row of the sample each
-    hits = [np.array(r.k or [], np.int64) for r in got]
-    y = np.array([[np.nan if r[c] is None else r[c] for c in ys] for r in got], np.float64).reshape(len(got), len(ys))
+    got = held.drop("held").join(at, "id", "left").orderBy("id").toArrow()  # one row of the sample each
+    listed = got["k"].combine_chunks()
+    sizes = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    hits = np.split(listed.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(sizes)[:-1]) if len(got) else []
+    y = np.column_stack([got[c].to_numpy() for c in ys]).astype(np.float64)
     return fit_chain(hits, y, names, index, scale, [s or 0.0 for s in shares])
 
 
