@@ -241,7 +241,7 @@ def stratum_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def owner_election(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = canonical_rows(spark, sf_dir).select("id", "doc_id", X.leakage_hash(F.col("text")).alias("strict_hash"), (F.col("doc_id") % 3 == 0).cast("int").alias("y"))
-    return C.elect_owners(rows, "strict_hash", "y", ["doc_id"])
+    return C.elect_owners(stored(rows, "owner-rows"), "strict_hash", "y", ["doc_id"])  # read twice
 
 
 @query(
