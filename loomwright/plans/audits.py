@@ -19,7 +19,7 @@ def held_out_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     then repeats among themselves."""
     docs, bench = load(spark, sf_dir, "documents", "benchmark")
     t = F.col("text")
-    values = lambda df: df.withColumns({"hash": X.text_hash(t), "strict": X.leakage_hash(t), "fp": X.fingerprint(t)}).drop("text")
+    values = lambda df: df.withColumns({"hash": X.text_hash(t), "strict": X.leakage_hash(t), "fp": X.window_fingerprint(t)}).drop("text")
     rows = stored(values(spread(docs.select(F.col("doc_id").alias("id"), "text"))), "held-out-values")
     return C.held_out_filter(rows, stored(values(bench.select("text")), "held-out-values")).withColumnRenamed("id", "doc_id")
 

@@ -48,14 +48,14 @@ def leakage_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fingerprints")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", X.fingerprint(F.col("text")).alias("fp")).select("doc_id", "fp.lo", "fp.hi")
+    return _docs(spark, sf_dir).select("doc_id", X.window_fingerprint(F.col("text")).alias("fp")).select("doc_id", "fp.lo", "fp.hi")
 
 
 @query("overlap_triples")
 def overlap_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised hash, strict hash and fingerprint in one pass."""
     t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", X.text_hash(t).alias("normalized"), X.leakage_hash(t).alias("strict"), X.fingerprint(t).alias("fp"))
+    return _docs(spark, sf_dir).select("doc_id", X.text_hash(t).alias("normalized"), X.leakage_hash(t).alias("strict"), X.window_fingerprint(t).alias("fp"))
 
 
 @query("length_buckets", "SELECT CASE WHEN length(text)<=256 THEN 'short' WHEN length(text)<=1024 THEN 'medium' WHEN length(text)<=4096 THEN 'long' ELSE 'very_long' END AS bucket, count(*) AS n FROM documents GROUP BY 1")
