@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,4 +38,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its rows are not: of the splits of a file only
+    those that a row group's middle falls into have rows, however many they are.
+    The count reads no column."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    n = held.agg(F.count("*").alias("parts"), F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    return df.repartition(cores) if n.parts and (n.parts < cores or n.most * cores > 2 * n["all"]) else df
+
+
 from loomwright.plans import audits, corpus, evaluation, serving, texts  # noqa: E402,F401
